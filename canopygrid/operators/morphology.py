@@ -165,7 +165,7 @@ def contract(edges: DataFrame, small_edges: int = 200_000) -> DataFrame:
         root = _merge(len(nodes), pair[:, 0], pair[:, 1])
         return pd.DataFrame({"node": nodes, "root": nodes[root]})
 
-    return e.groupBy(F.lit(0)).applyInPandas(finish, "node long, root long")
+    return e.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(finish, "node long, root long")
 
 
 def components(px: DataFrame, conn: int = 8, block: int = 256, value: str | None = None,
@@ -206,73 +206,75 @@ def components(px: DataFrame, conn: int = 8, block: int = 256, value: str | None
 
 # ---------------------------------------------------------------- polygons
 
-def _trace(rows: np.ndarray, cols: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Rings around a set of unit cells, interior on the right-hand side of travel.
+def _cell_rings(label: np.ndarray, rows: np.ndarray, cols: np.ndarray):
+    """Rings around every label in one bounded block: (label index, hole?, vertices).
 
-    Each cell side without a set neighbour is a directed lattice edge; edges are
-    chained corner to corner, preferring the turn that keeps 4-connected cells apart.
+    Cell sides facing another label are directed lattice edges with the cell on their
+    right. Each edge continues with the right turn if there is one, so cells that only
+    touch at a corner stay apart (4-connectivity); rings are the cycles of that map.
     """
-    cells = set(zip(rows.tolist(), cols.tolist()))
-    nxt: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r, c in cells:
-        sides = (((r - 1, c), (c, r), (c + 1, r)), ((r, c + 1), (c + 1, r), (c + 1, r + 1)),
-                 ((r + 1, c), (c + 1, r + 1), (c, r + 1)), ((r, c - 1), (c, r + 1), (c, r)))
-        for neighbour, start, end in sides:
-            if neighbour not in cells:
-                nxt.setdefault(start, []).append(end)
-    rings = []
-    while nxt:
-        start = min(nxt)
-        ring, here, came = [start], start, None
-        while True:
-            outs = nxt[here]
-            pick = 0
-            if len(outs) > 1 and came is not None:
-                dx, dy = here[0] - came[0], here[1] - came[1]
-                right = (here[0] - dy, here[1] + dx)
-                pick = outs.index(right) if right in outs else 0
-            there = outs.pop(pick)
-            if not outs:
-                del nxt[here]
-            if came is not None and len(ring) > 1 and _straight(ring[-2], here, there):
-                ring[-1] = there
-            else:
-                ring.append(there)
-            came, here = here, there
-            if here == start:
-                break
-        rings.append(ring)
-    return rings
-
-
-def _straight(a, b, c) -> bool:
-    return (b[0] - a[0]) * (c[1] - b[1]) == (b[1] - a[1]) * (c[0] - b[0])
-
-
-RING_SCHEMA = "ring_no int, is_hole boolean, ring array<struct<x:double,y:double>>"
-
-
-def trace_rings(labelled: DataFrame, keys: list[str], row="row", col="col",
+    y, x = rows - rows.min() + 1, cols - cols.min() + 1
+    _, lab = np.unique(label, return_inverse=True)
+    grid = np.full((y.max() + 2, x.max() + 2), -1)
+    grid[y, x] = lab
+    parts = []
+    # side, start and end corner offsets: top, right, bottom, left
+    for way, (dy, dx, sy, sx, ey, ex) in enumerate(
+            ((-1, 0, 0, 0, 0, 1), (0, 1, 0, 1, 1, 1), (1, 0, 1, 1, 1, 0), (0, -1, 1, 0, 0, 0))):
+        k = np.flatnonzero(grid[y + dy, x + dx] != lab)
+        parts.append(np.stack([lab[k], y[k] + sy, x[k] + sx, y[k] + ey, x[k] + ex, np.full(len(k), way)]))
+    lb, sy, sx, ey, ex, way = np.concatenate(parts, axis=1)
+    span_x, span_y = int(x.max()) + 2, int(y.max()) + 2
+    start = ((lb * span_y + sy) * span_x + sx) * 4 + way
+    order = np.argsort(start)
+    lb, sy, sx, ey, ex, way, start = (v[order] for v in (lb, sy, sx, ey, ex, way, start))
+    corner = ((lb * span_y + ey) * span_x + ex) * 4
+    follow = np.full(len(start), -1)
+    for turn in (3, 0, 1):
+        want = corner + (way + turn) % 4
+        at = np.minimum(np.searchsorted(start, want), len(start) - 1)
+        follow = np.where(start[at] == want, at, follow)
+    bend = np.empty(len(start), dtype=bool)
+    bend[follow] = way[follow] != way
+    oy, ox = int(rows.min()) - 1, int(cols.min()) - 1
+    succ, bends = follow.tolist(), bend.tolist()
+    xs, ys = (sx + ox).tolist(), (sy + oy).tolist()
+    seen = [False] * len(succ)
+    for first in range(len(succ)):
+        if seen[first]:
+            continue
+        ring, e = [], first
+        while not seen[e]:
+            seen[e] = True
+            if bends[e]:
+                ring.append((xs[e], ys[e]))
+            e = succ[e]
+        ring.append(ring[0])
+        twice = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:]))
+        yield int(lb[first]), twice < 0, ring
+
+
+def trace_rings(labelled: DataFrame, within: list[str], label: str, keep: list[str] = (), row="row", col="col",
                 transform=(1.0, 0.0, 0.0, 0.0, 1.0, 0.0)) -> DataFrame:
-    """Rings of each group of cells, outer ring first. A group must be bounded: one
-    component of one patch, or one component's share of one block."""
+    """Rings of each label inside a bounded group (one patch or one block), outer rings
+    before holes. ``keep`` columns are constant per label."""
     a, _, c, _, e, f = transform
-    schema = T.StructType([labelled.schema[k] for k in keys])
-    ddl = ", ".join(f"`{s.name}` {s.dataType.simpleString()}" for s in schema) + ", " + RING_SCHEMA
+    fixed = [*within, label, *keep]
+    ddl = ", ".join(f"`{n}` {labelled.schema[n].dataType.simpleString()}" for n in fixed)
+    ddl += ", ring_no int, is_hole boolean, ring array<struct<x:double,y:double>>"
 
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for ring in _trace(pdf[row].to_numpy(), pdf[col].to_numpy()):
-            twice = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:]))
-            out.append((twice < 0, [{"x": x * a + c, "y": y * e + f} for x, y in ring]))
-        out.sort(key=lambda t: t[0])
-        got = pd.DataFrame({"ring_no": np.arange(len(out), dtype="int32"),
-                            "is_hole": [h for h, _ in out], "ring": [g for _, g in out]})
-        for i, k in enumerate(keys):
-            got.insert(i, k, pdf[k].iloc[0])
-        return got
+        rings = sorted(_cell_rings(pdf[label].to_numpy(), pdf[row].to_numpy(), pdf[col].to_numpy()),
+                       key=lambda t: (t[0], t[1]))
+        which = np.array([t[0] for t in rings])
+        per = pdf[fixed].drop_duplicates(label).sort_values(label, ignore_index=True)
+        out = per.iloc[which].reset_index(drop=True)
+        out["ring_no"] = out.groupby(label).cumcount().astype("int32")
+        out["is_hole"] = [t[1] for t in rings]
+        out["ring"] = [[{"x": x * a + c, "y": y * e + f} for x, y in t[2]] for t in rings]
+        return out
 
-    return labelled.groupBy(*keys).applyInPandas(trace, ddl)
+    return labelled.select(*fixed, row, col).groupBy(*within).applyInPandas(trace, ddl)
 
 
 def polygonize(px: DataFrame, within: list[str], conn: int = 4, min_px: int = 6,
@@ -280,20 +282,18 @@ def polygonize(px: DataFrame, within: list[str], conn: int = 4, min_px: int = 6,
     """Patch masks to polygons: 4-connected regions of at least ``min_px`` pixels."""
     lab = patch_components(px, within, conn, row, col)
     big = lab.groupBy(*within, "comp").agg(F.count(F.lit(1)).alias("n_px")).where(F.col("n_px") >= min_px)
-    keys = [*within, "comp"]
-    return trace_rings(lab.join(big, keys), [*keys, "n_px"], row, col)
+    return trace_rings(lab.join(big, [*within, "comp"]), within, "comp", ["n_px"], row, col)
 
 
 def map_polygons(px: DataFrame, value: str = "lc", nodata: int = 0, block: int = 256,
                  row="row", col="col") -> DataFrame:
-    """City map to polygons per class. Rings are cut at block edges, so a component
-    that spans the city is a multi-part feature: parts share ``comp`` and each part is
-    bounded by one block."""
+    """City map to polygons per class. Rings are cut at block edges: a component that
+    spans the city is a multi-part feature whose parts share ``comp``, and no part is
+    larger than a block."""
     lab = components(px.where(F.col(value) != nodata), 4, block, value, row, col)
     cut = lab.withColumns({"block_r": F.floor(F.col(row) / block).cast("int"),
                            "block_c": F.floor(F.col(col) / block).cast("int")})
-    # a component may enter one block in several places; label the pieces apart
-    return trace_rings(cut, [value, "comp", "block_r", "block_c"], row, col)
+    return trace_rings(cut, ["block_r", "block_c"], "comp", [value], row, col)
 
 
 def map_areas(px: DataFrame, value: str = "lc", nodata: int = 0, pixel_area: float = 1.0,

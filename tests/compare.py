@@ -27,6 +27,9 @@ def connect(d: str):
     return con
 
 
+TIMES: dict[str, float] = {}
+
+
 def norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else (0.0 if v == 0 else v)
@@ -41,7 +44,9 @@ def rows_of(cols, data):
 def compare(spark, con, name, fn, sql, d):
     """None when equal, else a short description of the first difference."""
     df = fn(spark, d)
+    t = time.time()
     got = [tuple(r) for r in df.collect()]
+    TIMES[name] = time.time() - t
     if sql is None:
         return None if got else "no rows"
     cur = con.execute(sql)
@@ -95,7 +100,7 @@ def main():
         except Exception as ex:  # noqa: BLE001
             msg = f"{type(ex).__name__}: {str(ex)[:600]}"
         bad += msg is not None
-        print(f"{'ok ' if msg is None else 'BAD'} {name:22s} {time.time()-t:6.2f}s {'' if name in oracle else '(rows only) '}{msg or ''}", flush=True)
+        print(f"{'ok ' if msg is None else 'BAD'} {name:22s} {TIMES.get(name, 0):6.2f}s of {time.time()-t:6.2f}s {'' if name in oracle else '(rows only) '}{msg or ''}", flush=True)
     print("failures:", bad)
 
 
