@@ -51,17 +51,15 @@ def predict(chips: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np
     def loader():
         score = make_model()
 
-        def run(*arrays: np.ndarray) -> np.ndarray:
-            x = np.stack(arrays, axis=1).reshape(len(arrays[0]), len(arrays), size, size)
+        def run(x: np.ndarray) -> np.ndarray:
             return (score(x.astype("float32")).argmax(axis=1) + 1).reshape(len(x), -1).astype("int32")
 
         return run
 
-    n = size * size
     scorer = predict_batch_udf(loader, return_type=T.ArrayType(T.IntegerType()), batch_size=batch,
-                               input_tensor_shapes=[[n]] * len(bands))
-    floats = [F.transform(b, lambda x: x.cast("float")) for b in bands]
-    return chips.withColumn("lc", scorer(*floats))
+                               input_tensor_shapes=[[len(bands), size, size]])
+    planes = F.flatten(F.array(*[F.transform(b, lambda x: x.cast("float")) for b in bands]))
+    return chips.withColumn("lc", scorer(planes))
 
 
 def complete_scenes(chips: DataFrame, meta: DataFrame, scene: str = "scene") -> DataFrame:
