@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from canopygrid.functions.arrays import let
 from canopygrid.model import (
     GRASS_MAX_M, IGNORE, NDVI_VEG_MIN, NODATA, TREE_MIN_M, ChipConfig,
 )
@@ -116,48 +117,51 @@ def scaled_band(value: Column, scale: float) -> Column:
     return clean_nonfinite(value / F.lit(max(float(scale), 1.0)))
 
 
-def scaled_ndvi(value: Column, is_scaled: Column) -> Column:
-    v = F.when(is_scaled, value / 10000.0).otherwise(value)
-    return clean_nonfinite((clamp(v, -1.0, 1.0) + 1.0) / 2.0)
+def _missing(v: Column) -> Column:
+    return v.isNull() | F.isnan(v)
+
+
+def scaled_ndvi(value: Column, divisor) -> Column:
+    """Clip to [-1, 1] and map to [0, 1]; missing becomes 0 (not the middle)."""
+    v = F.least(F.greatest(value / divisor, F.lit(-1.0)), F.lit(1.0))
+    return F.when(_missing(value), 0.0).otherwise((v + 1.0) / 2.0)
 
 
 def scaled_height(value: Column, clip: float) -> Column:
-    return clean_nonfinite(clamp(value, 0.0, clip) / F.lit(float(clip)))
+    v = F.least(F.greatest(value, F.lit(0.0)), F.lit(float(clip)))
+    return F.when(_missing(value), 0.0).otherwise(v / F.lit(float(clip)))
 
 
-def physical_ndvi(value: Column, is_scaled: Column) -> Column:
-    v = F.when(is_scaled, value / 10000.0).otherwise(value)
-    return clamp(F.when(v.isNull() | F.isnan(v), 0.0).otherwise(v), -1.0, 1.0)
+def physical_ndvi(value: Column, divisor) -> Column:
+    v = F.least(F.greatest(value / divisor, F.lit(-1.0)), F.lit(1.0))
+    return F.when(_missing(value), 0.0).otherwise(v)
 
 
 def physical_height(value: Column) -> Column:
     return F.when(finite(value) & (value >= -1000), value).otherwise(0.0)
 
 
+def _ndvi_divisor(ndvi: str, cfg: ChipConfig) -> Column:
+    if not cfg.ndvi_auto_rescale:
+        return F.lit(1.0)
+    return F.when(ndvi_is_scaled(F.col(ndvi)), 10000.0).otherwise(1.0)
+
+
 def normalize(chips, cfg: ChipConfig, ndvi="ndvi", chm="chm"):
     """Chip arrays to model inputs. One narrow projection: nothing is shuffled,
     because the rescale decision only needs the chip's own array."""
-    flag = ndvi_is_scaled(F.col(ndvi)) if cfg.ndvi_auto_rescale else F.lit(False)
-    flagged = chips.withColumn("_scaled", flag)
     new = {b: F.transform(b, lambda x: scaled_band(x, cfg.naip_scale)) for b in cfg.bands}
-    new[ndvi] = F.transform(ndvi, lambda x: scaled_ndvi(x, F.col("_scaled")))
+    new[ndvi] = let(_ndvi_divisor(ndvi, cfg), lambda k: F.transform(ndvi, lambda x: scaled_ndvi(x, k)))
     new[chm] = F.transform(chm, lambda x: scaled_height(x, cfg.chm_clip_m))
-    return flagged.withColumns(new).drop("_scaled")
+    return chips.withColumns(new)
 
 
 def physical(chips, cfg: ChipConfig, ndvi="ndvi", chm="chm"):
     """Chip arrays back to index units and metres."""
-    flag = ndvi_is_scaled(F.col(ndvi)) if cfg.ndvi_auto_rescale else F.lit(False)
-    return (
-        chips.withColumn("_scaled", flag)
-        .withColumns(
-            {
-                ndvi: F.transform(ndvi, lambda x: physical_ndvi(x, F.col("_scaled"))),
-                chm: F.transform(chm, physical_height),
-            }
-        )
-        .drop("_scaled")
-    )
+    return chips.withColumns({
+        ndvi: let(_ndvi_divisor(ndvi, cfg), lambda k: F.transform(ndvi, lambda x: physical_ndvi(x, k))),
+        chm: F.transform(chm, physical_height),
+    })
 
 
 def sample_scale(dtype) -> Column:

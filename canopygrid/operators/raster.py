@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopygrid.functions.arrays import let, positions
+
 CELL = ["scene", "row", "col"]
 
 
@@ -132,15 +134,14 @@ def to_chips(px: DataFrame, size: int, bands: list[str], edge: str = "pad", keys
         F.raise_error(F.lit("raster has missing pixels inside a chip"))))
 
     def padded(b: str) -> Column:
-        flat = F.col("_px")[b]
         zero = F.lit(0).cast(px.schema[b].dataType)
-        line = lambda r: F.when(
+        line = lambda flat: lambda r: F.when(
             r < F.col("valid_h"),
             F.concat(F.slice(flat, r * F.col("valid_w") + 1, F.col("valid_w")),
                      F.array_repeat(zero, F.lit(size) - F.col("valid_w"))),
         ).otherwise(F.array_repeat(zero, size))
-        filled = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), line))
-        return F.when(whole, flat).otherwise(filled)
+        filled = let(F.col("_px")[b], lambda flat: F.flatten(F.transform(positions(size), line(flat))))
+        return F.when(whole, F.col("_px")[b]).otherwise(filled)
 
     return chips.select(*keys, "r0", "c0", "valid_h", "valid_w",
                         *[(padded(b) if edge == "pad" else F.col("_px")[b]).alias(b) for b in bands])
@@ -150,9 +151,8 @@ def subcrops(chips: DataFrame, size: int, crop: int, bands: list[str]) -> DataFr
     """Non-overlapping crops of square chips, as array slices (no shuffle)."""
     steps = F.sequence(F.lit(0), F.lit(size - crop), F.lit(crop))
     cut = chips.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps))
-    take = lambda b: F.flatten(F.transform(
-        F.sequence(F.lit(0), F.lit(crop - 1)),
-        lambda r: F.slice(b, (r + F.col("dr")) * size + F.col("dc") + 1, crop)))
+    take = lambda b: let(F.col(b), lambda v: F.flatten(F.transform(
+        positions(crop), lambda r: F.slice(v, (r + F.col("dr")) * size + F.col("dc") + 1, crop))))
     return cut.withColumns({b: take(b) for b in bands})
 
 
@@ -163,12 +163,15 @@ def fit_to(arr: str, height, width, size: int, zero=0) -> Column:
     top = F.greatest(F.floor((h - size) / 2), F.lit(0)).cast("int")
     left = F.greatest(F.floor((w - size) / 2), F.lit(0)).cast("int")
 
-    def at(i):
-        r, c = F.floor(i / size).cast("int"), i % size
-        ok = (r < h - top) & (c < w - left)
-        return F.when(ok, F.get(F.col(arr), ((r + top) * w + c + left).cast("int"))).otherwise(zero)
+    def pick(v: Column):
+        def at(i):
+            r, c = F.floor(i / size).cast("int"), i % size
+            ok = (r < h - top) & (c < w - left)
+            return F.when(ok, F.get(v, ((r + top) * w + c + left).cast("int"))).otherwise(zero)
+
+        return F.transform(positions(size * size), at)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), at)
+    return let(F.col(arr), pick)
 
 
 def to_pixels(chips: DataFrame, size: int, bands: list[str], keep=("scene",)) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canopygrid.functions import geometry as G
+from canopygrid.functions.arrays import let
 from canopygrid.model import BUILDING, IGNORE, ROAD_RADIUS_M, TREE
 
 
@@ -233,30 +234,52 @@ def clip_to(px: DataFrame, ft: DataFrame, value: str, nodata: int = 0, width: in
     )
 
 
+def row_blocks(px: DataFrame, values: list[str], block: int) -> DataFrame:
+    """Pixel rows in column blocks: one sorted array of at most ``block`` cells."""
+    cell = F.struct("col", *values)
+    return px.groupBy("row", F.floor(F.col("col") / block).alias("_cb")).agg(
+        F.array_sort(F.collect_list(cell)).alias("_cells"))
+
+
 def zonal(px: DataFrame, ft: DataFrame, values: list[str], key: str = "fid", block: int = 64,
           window: str = "polygon", max_group_px: int = 4_000_000) -> DataFrame:
     """Exact median of each value under each feature; NULL where nothing is covered.
 
-    ``polygon`` uses pixel centres inside the ring, ``bbox`` the ring's box. Features
-    up to ``max_group_px`` box pixels go through ``percentile``, whose state is then
-    bounded; larger ones through ``large_median``, which never gathers a group.
+    ``polygon`` uses pixel centres inside the ring, ``bbox`` the ring's box. Pixels and
+    feature spans meet once per (row, column block), where the span is cut out of the
+    block's array, so the join yields one row per span and not one per pixel. Features up
+    to ``max_group_px`` box pixels are then finished from their own bounded array; larger
+    ones go through ``large_median``, which never gathers a group.
     """
-    b = G.bounds("ring")
-    shaped = ft.withColumns(b)
+    shaped = ft.withColumns(G.bounds("ring"))
     if window == "bbox":
         shaped = shaped.withColumn("ring", G.box_ring("xmin", "ymin", "xmax", "ymax"))
     shaped = shaped.withColumn(
         "_large", (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")) > max_group_px)
     spans = row_spans(shaped, [key, "_large"]).withColumn(
         "_cb", F.explode(F.sequence(F.floor(F.col("c0") / block), F.floor(F.col("c1") / block))))
-    p = px.select("row", "col", *values).withColumn("_cb", F.floor(F.col("col") / block))
-    hit = p.join(spans, ["row", "_cb"]).where(F.col("col").between(F.col("c0"), F.col("c1")))
-    small = hit.where(~F.col("_large")).groupBy(key).agg(
-        *[F.percentile(v, F.lit(0.5)).alias(f"{v}_med") for v in values])
+    cells = F.col("_cells")
+    first, last = F.get(cells, F.lit(0))["col"], F.element_at(cells, -1)["col"]
+    dense = F.size(cells) == last - first + 1
+    lo, hi = F.greatest(F.col("c0"), first), F.least(F.col("c1"), last)
+    part = F.when(lo > hi, F.slice(cells, 1, 0)).when(
+        dense, F.slice(cells, lo - first + 1, F.greatest(hi - lo + 1, F.lit(0)))
+    ).otherwise(F.filter(cells, lambda x: (x["col"] >= F.col("c0")) & (x["col"] <= F.col("c1"))))
+    hit = row_blocks(px, values, block).join(spans, ["row", "_cb"]).select(key, "_large", part.alias("_part"))
+
+    def median(v: str) -> Column:
+        known = F.sort_array(F.filter(F.transform("_all", lambda x: x[v]), lambda x: x.isNotNull()))
+        mid = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int"))
+                         + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2.0
+        return let(known, mid)
+
+    small = hit.where(~F.col("_large")).groupBy(key).agg(F.flatten(F.collect_list("_part")).alias("_all")).select(
+        key, *[median(v).alias(f"{v}_med") for v in values])
     if not shaped.where(F.col("_large")).isEmpty():
-        big, parts = hit.where(F.col("_large")), None
+        big = hit.where(F.col("_large")).select(key, F.explode("_part").alias("_x"))
+        parts = None
         for v in values:
-            m = large_median(big, key, v).withColumnRenamed(v, f"{v}_med")
+            m = large_median(big.select(key, F.col("_x")[v].alias(v)), key, v).withColumnRenamed(v, f"{v}_med")
             parts = m if parts is None else parts.join(m, key, "full_outer")
         small = small.unionByName(parts)
     return ft.select(key).join(small, key, "left")
