@@ -117,6 +117,11 @@ def scaled_band(value: Column, scale: float) -> Column:
     return clean_nonfinite(value / F.lit(max(float(scale), 1.0)))
 
 
+def _scaled_int(value: Column, scale: float) -> Column:
+    """Integer samples cannot be NaN or infinite."""
+    return F.coalesce(value / F.lit(max(float(scale), 1.0)), F.lit(0.0))
+
+
 def _missing(v: Column) -> Column:
     return v.isNull() | F.isnan(v)
 
@@ -150,7 +155,10 @@ def _ndvi_divisor(ndvi: str, cfg: ChipConfig) -> Column:
 def normalize(chips, cfg: ChipConfig, ndvi="ndvi", chm="chm"):
     """Chip arrays to model inputs. One narrow projection: nothing is shuffled,
     because the rescale decision only needs the chip's own array."""
-    new = {b: F.transform(b, lambda x: scaled_band(x, cfg.naip_scale)) for b in cfg.bands}
+    new = {}
+    for b in cfg.bands:
+        whole = chips.schema[b].dataType.elementType.typeName() in ("byte", "short", "integer", "long")
+        new[b] = F.transform(b, lambda x: _scaled_int(x, cfg.naip_scale) if whole else scaled_band(x, cfg.naip_scale))
     new[ndvi] = let(_ndvi_divisor(ndvi, cfg), lambda k: F.transform(ndvi, lambda x: scaled_ndvi(x, k)))
     new[chm] = F.transform(chm, lambda x: scaled_height(x, cfg.chm_clip_m))
     return chips.withColumns(new)

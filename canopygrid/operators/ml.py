@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,22 +44,24 @@ def predict_pixels(px: DataFrame, model: PipelineModel) -> DataFrame:
 
 
 def predict(chips: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]],
-            bands: list[str], size: int, batch: int = 16) -> DataFrame:
-    """Score chips with any array model. ``make_model`` is called once per Python
-    worker and returns f(batch, bands, size, size) -> scores(batch, k, size, size); the
-    first maximum wins, and codes are id+1."""
-    def loader():
+            bands: list[str], size: int, batch: int = 16,
+            keep=("scene", "r0", "c0", "valid_h", "valid_w")) -> DataFrame:
+    """Score chips with any array model, in batches. ``make_model`` is called once per
+    task and returns f(batch, bands, size, size) -> scores(batch, k, size, size); the first
+    maximum wins, and codes are id+1. Only ``keep`` and the codes leave the Python worker."""
+    keep = list(keep)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = make_model()
-
-        def run(x: np.ndarray) -> np.ndarray:
-            return (score(x.astype("float32")).argmax(axis=1) + 1).reshape(len(x), -1).astype("int32")
-
-        return run
-
-    scorer = predict_batch_udf(loader, return_type=T.ArrayType(T.IntegerType()), batch_size=batch,
-                               input_tensor_shapes=[[len(bands), size, size]])
-    planes = F.flatten(F.array(*[F.transform(b, lambda x: x.cast("float")) for b in bands]))
-    return chips.withColumn("lc", scorer(planes))
+        for pdf in frames:
+            for i in range(0, len(pdf), batch):
+                part = pdf.iloc[i:i + batch]
+                planes = [np.stack(part[b].to_numpy()).reshape(-1, size, size) for b in bands]
+                ids = score(np.stack(planes, axis=1).astype("float32")).argmax(axis=1)
+                yield part[keep].assign(lc=list((ids + 1).reshape(len(part), -1).astype("int32")))
+
+    schema = T.StructType([chips.schema[c] for c in keep] + [T.StructField("lc", T.ArrayType(T.IntegerType()))])
+    return chips.select(*keep, *bands).mapInPandas(run, schema)
 
 
 def complete_scenes(chips: DataFrame, meta: DataFrame, scene: str = "scene") -> DataFrame:
