@@ -32,14 +32,11 @@ def veg_stratum(ndvi="ndvi", chm="chm", veg_min=NDVI_VEG_MIN, grass=GRASS_MAX_M,
                 tree=TREE_MIN_M, null_is_ground=True) -> Column:
     """grass / shrub / tree for green pixels, NULL otherwise; tree is strictly above."""
     v, h = _col(ndvi), _col(chm)
-    ground = h < grass
-    if null_is_ground:
-        ground = h.isNull() | ground
+    known = h.isNotNull() & ~F.isnan(h)
+    ground = (h.isNull() | (h < grass)) if null_is_ground else (known & (h < grass))
     return F.when(
         finite(v) & (v >= veg_min),
-        F.when(ground, "grass")
-        .when(~F.isnan(h) & (h <= tree), "shrub")
-        .when(~F.isnan(h), "tree"),
+        F.when(ground, "grass").when(known & (h <= tree), "shrub").when(known, "tree"),
     )
 
 

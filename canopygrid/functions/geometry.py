@@ -57,8 +57,8 @@ def bounds(ring) -> dict[str, Column]:
 def is_usable(ring) -> Column:
     """At least four vertices, closed, non-zero area, no missing ordinate."""
     r = _col(ring)
-    closed = (F.get(r, F.lit(0))["x"] == F.element_at(r, -1)["x"]) & (
-        F.get(r, F.lit(0))["y"] == F.element_at(r, -1)["y"])
+    closed = (F.get(r, F.lit(0))["x"] == F.try_element_at(r, F.lit(-1))["x"]) & (
+        F.get(r, F.lit(0))["y"] == F.try_element_at(r, F.lit(-1))["y"])
     complete = F.forall(r, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
     return F.coalesce(r.isNotNull() & (F.size(r) >= 4) & complete & closed & (area(r) > 0),
                       F.lit(False))
