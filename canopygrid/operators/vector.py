@@ -206,33 +206,43 @@ def road_pixels(lines: DataFrame, radius: float = ROAD_RADIUS_M, width: int | No
     )
 
 
-def covered_rows(ft: DataFrame, width: int | None = None, height: int | None = None) -> DataFrame:
-    """Union of all features as disjoint spans per row (few rows per pixel row)."""
-    w = W.partitionBy("row").orderBy("c0", "c1")
-    s = row_spans(ft, ["fid"], width, height).select("row", "c0", "c1")
+def covered_rows(ft: DataFrame, width: int | None = None, height: int | None = None,
+                 block: int = 1024) -> DataFrame:
+    """Union of all features as disjoint spans per row and column block.
+
+    Spans are cut at block edges first, so a row crossed by very many features is merged
+    by several tasks.
+    """
+    w = W.partitionBy("row", "cb").orderBy("c0", "c1")
+    s = row_spans(ft, ["fid"], width, height).withColumn(
+        "cb", F.explode(F.sequence(F.floor(F.col("c0") / block), F.floor(F.col("c1") / block))))
+    s = s.select("row", "cb", F.greatest(F.col("c0"), F.col("cb") * block).alias("c0"),
+                 F.least(F.col("c1"), F.col("cb") * block + block - 1).alias("c1")).distinct()
     reach = F.max("c1").over(w.rowsBetween(W.unboundedPreceding, -1))
     s = s.withColumn("_new", (reach.isNull() | (F.col("c0") > reach + 1)).cast("int"))
     s = s.withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return s.groupBy("row", "_island").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("_island")
+    return s.groupBy("row", "cb", "_island").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("_island")
 
 
 def clip_to(px: DataFrame, ft: DataFrame, value: str, nodata: int = 0, width: int | None = None,
-            height: int | None = None) -> DataFrame:
+            height: int | None = None, block: int = 1024) -> DataFrame:
     """Keep values inside the boundary, ``nodata`` elsewhere, cropped to its box.
 
-    The crop uses the ring bounds as an ordinary filter before the span join.
+    The crop uses the ring bounds as an ordinary filter before the span join. A pixel meets
+    at most one span, because spans are disjoint.
     """
-    spans = covered_rows(ft, width, height).withColumnRenamed("row", "_row")
+    spans = covered_rows(ft, width, height, block).withColumnRenamed("row", "_row")
     b = G.bounds("ring")
     box = ft.agg(F.min(b["xmin"]).alias("bx0"), F.min(b["ymin"]).alias("by0"),
                  F.max(b["xmax"]).alias("bx1"), F.max(b["ymax"]).alias("by1")).first()
     x, y = F.col("col") + 0.5, F.col("row") + 0.5
     near = px.where((x > box["bx0"]) & (x < box["bx1"]) & (y > box["by0"]) & (y < box["by1"]))
-    hit = (F.col("row") == F.col("_row")) & F.col("col").between(F.col("c0"), F.col("c1"))
+    hit = ((F.col("row") == F.col("_row")) & (F.floor(F.col("col") / block) == F.col("cb"))
+           & F.col("col").between(F.col("c0"), F.col("c1")))
     return (
         near.join(spans, hit, "left")
         .withColumn(value, F.when(F.col("_row").isNotNull(), F.col(value)).otherwise(nodata))
-        .drop("_row", "c0", "c1")
+        .drop("_row", "cb", "c0", "c1")
     )
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -30,23 +29,18 @@ def run_once(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkp
     q.awaitTermination()
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:  # nothing published yet
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def ingest_scenes(stream: DataFrame, compute: Callable[[DataFrame], DataFrame], out: str,
-                  checkpoint: str, key: str = "scene") -> None:
-    """Compute and publish new scenes. A replayed batch rewrites its own partitions, and
-    scenes published by an earlier run are left out, so the output holds each once."""
-    def handle(batch: DataFrame, _: int) -> None:
-        done = _existing(batch.sparkSession, out)
+                  checkpoint: str, key: str = "scene", done: DataFrame | None = None) -> None:
+    """Compute and publish arriving scenes, each input file exactly once.
+
+    A batch replaces the partitions (scene, part = batch number) it owns, so a replay after
+    a failure repeats its own output, and a scene whose files arrive in several batches
+    keeps all of them. ``done`` names scenes to leave out: those whose record says they
+    were complete before this run.
+    """
+    def handle(batch: DataFrame, n: int) -> None:
         todo = batch if done is None else pending(batch, done.select(key).distinct(), key)
-        publish(compute(todo), out, [key])
+        publish(compute(todo).withColumn("part", F.lit(n)), out, [key, "part"])
 
     run_once(stream, handle, checkpoint)
 

@@ -117,14 +117,19 @@ def test_stream_counts_equal_batch_and_restart(spark, sf, tmp_path):
     assert sorted(map(tuple, jobs.read_board(spark, out, ["status"], ["n"]).collect())) == want
 
 
-def test_ingest_publishes_each_scene_once(spark, sf, tmp_path):
+def test_ingest_keeps_every_file_once(spark, tmp_path):
     src, out, state = (str(tmp_path / k) for k in ("src", "out", "state"))
-    small = spark.createDataFrame([("s1", 1), ("s1", 2), ("s2", 3)], "scene string, v int")
-    small.coalesce(1).write.parquet(src)
-    run = lambda st: jobs.ingest_scenes(jobs.open_stream(spark, src, small.schema), lambda b: b.withColumn("w", F.col("v") * 10), out, st)
-    run(state)
-    run(state)
-    spark.createDataFrame([("s2", 4), ("s3", 5)], "scene string, v int").coalesce(1).write.mode("append").parquet(src)
-    run(state)
-    got = sorted(map(tuple, spark.read.parquet(out).select("scene", "v", "w").collect()))
-    assert got == [("s1", 1, 10), ("s1", 2, 20), ("s2", 3, 30), ("s3", 5, 50)]
+    first = spark.createDataFrame([("s1", 1), ("s1", 2), ("s2", 3)], "scene string, v int")
+    add = lambda df: df.coalesce(1).write.mode("append").parquet(src)
+    run = lambda **k: jobs.ingest_scenes(
+        jobs.open_stream(spark, src, first.schema, files_per_batch=1), lambda b: b.withColumn("w", F.col("v") * 10), out, state, **k)
+    rows = lambda: sorted(map(tuple, spark.read.parquet(out).select("scene", "v", "w").collect()))
+    add(first)
+    run()
+    run()
+    assert rows() == [("s1", 1, 10), ("s1", 2, 20), ("s2", 3, 30)]
+    # a late part of s2 is kept; s1 is recorded as complete and not computed again
+    add(spark.createDataFrame([("s2", 4)], "scene string, v int"))
+    add(spark.createDataFrame([("s1", 7), ("s3", 5)], "scene string, v int"))
+    run(done=spark.createDataFrame([("s1",)], "scene string"))
+    assert rows() == [("s1", 1, 10), ("s1", 2, 20), ("s2", 3, 30), ("s2", 4, 40), ("s3", 5, 50)]

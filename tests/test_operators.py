@@ -380,3 +380,12 @@ def test_projected_sinusoids(spark):
     df = spark.createDataFrame([(0.25, 0.5)], "x double, y double")
     ch = df.select(*C.coord_channels("x", "y", {"xmin": 0.0, "ymin": 0.0, "xmax": 1.0, "ymax": 1.0}, "sincos")).first()
     assert ch["sin_x1"] == pytest.approx(1.0) and ch["cos_y0"] == pytest.approx(math.cos(math.pi / 2))
+
+
+def test_clip_with_overlapping_parts_and_blocks(spark):
+    px = spark.range(400).select(F.floor(F.col("id") / 20).cast("int").alias("row"), (F.col("id") % 20).cast("int").alias("col"), F.lit(5).alias("lc"))
+    rings = [(1, 2.0, 2.0, 12.0, 12.0), (2, 8.0, 8.0, 18.0, 18.0), (3, 2.0, 2.0, 12.0, 12.0)]
+    ft = spark.createDataFrame(rings, "fid long, a double, b double, c double, d double").select("fid", G.box_ring("a", "b", "c", "d").alias("ring"))
+    out = vector.clip_to(px, ft, "lc", block=7).collect()
+    want = {(r, c): 5 if (2 <= r < 12 and 2 <= c < 12) or (8 <= r < 18 and 8 <= c < 18) else 0 for r in range(2, 18) for c in range(2, 18)}
+    assert {(r.row, r.col): r.lc for r in out} == want and len(out) == len(want)
