@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -51,17 +51,19 @@ def predict(chips: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np
     maximum wins, and codes are id+1. Only ``keep`` and the codes leave the Python worker."""
     keep = list(keep)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make_model()
-        for pdf in frames:
-            for i in range(0, len(pdf), batch):
-                part = pdf.iloc[i:i + batch]
-                planes = [np.stack(part[b].to_numpy()).reshape(-1, size, size) for b in bands]
+        for rows in batches:
+            for i in range(0, rows.num_rows, batch):
+                part = rows.slice(i, batch)
+                planes = [part.column(b).flatten().to_numpy(zero_copy_only=False).reshape(-1, size, size) for b in bands]
                 ids = score(np.stack(planes, axis=1).astype("float32")).argmax(axis=1)
-                yield part[keep].assign(lc=list((ids + 1).reshape(len(part), -1).astype("int32")))
+                ends = pa.array(np.arange(0, ids.size + 1, size * size, dtype="int32"))
+                codes = pa.ListArray.from_arrays(ends, pa.array((ids + 1).ravel().astype("int32")))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), codes], names=[*keep, "lc"])
 
     schema = T.StructType([chips.schema[c] for c in keep] + [T.StructField("lc", T.ArrayType(T.IntegerType()))])
-    return chips.select(*keep, *bands).mapInPandas(run, schema)
+    return chips.select(*keep, *bands).mapInArrow(run, schema)
 
 
 def complete_scenes(chips: DataFrame, meta: DataFrame, scene: str = "scene") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",  # chips are large rows
 }
 
 
@@ -25,6 +27,9 @@ def tune(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -37,15 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative jobs")
-    made = spark.sparkContext.getCheckpointDir()
-    if made:
-        return made.removeprefix("file:")
-    return tempfile.mkdtemp(prefix="canopygrid-")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="canopygrid-")
+    return _own_dirs[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of any executor."""
+    """Write the rows once to the shared folder and go on from the written table.
+
+    The result survives the loss of any executor, and unlike a checkpointed RDD it has
+    statistics for join planning and is computed only once.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
