@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from canopygrid.functions import bands as B
 from canopygrid.functions import coords as C
-from canopygrid.functions import geometry as G
 from canopygrid.functions import names as N
 from canopygrid.model import BLACK_SHARE_MAX, LABELED_SHARE_MIN, ChipConfig
 from canopygrid.operators import augment, layers, points, raster, sampling, vector

@@ -276,7 +276,7 @@ def predict_complete(spark, d):
     return ml.complete_scenes(raster.to_chips(px, 48, ["red"], "pad"), config.scene_meta(px, 48))
 
 
-@query("eval_model", with_(IOU.replace("inter,", "inter,") + "SELECT cls, inter, union_px, round(CASE WHEN union_px>0 THEN inter/union_px::DOUBLE END,9) AS iou FROM i", "sc"))
+@query("eval_model", with_(IOU + "SELECT cls, inter, union_px, round(CASE WHEN union_px>0 THEN inter/union_px::DOUBLE END,9) AS iou FROM i", "sc"))
 def eval_model(spark, d):
     px = X.scored(spark, d).withColumnRenamed("truth", "mask")
     return ml.evaluate(px).withColumn("iou", F.round("iou", 9))

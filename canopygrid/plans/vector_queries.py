@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from canopygrid.functions import bands as B
 from canopygrid.functions import coords as C
 from canopygrid.functions import geometry as G
-from canopygrid.functions import keys as K
 from canopygrid.functions import names as N
 from canopygrid.model import (
     DETECTION_SCORE_MIN, MIN_PX_TREE, MIN_PX_VEG, NDVI_VEG_MIN, ROAD_RADIUS_M, TREE_MIN_M,
@@ -119,9 +117,9 @@ def centers_in_boundary(spark, d):
 
 
 ROADS = """, hit AS (SELECT px.row, px.col, count(*) AS n_lines FROM px JOIN road ON
-  (SELECT 1)=1 AND power(col+0.5-(x1+(x2-x1)*greatest(0.0,least(1.0,((col+0.5-x1)*(x2-x1)+(row+0.5-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))))),2)
+  power(col+0.5-(x1+(x2-x1)*greatest(0.0,least(1.0,((col+0.5-x1)*(x2-x1)+(row+0.5-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))))),2)
   +power(row+0.5-(y1+(y2-y1)*greatest(0.0,least(1.0,((col+0.5-x1)*(x2-x1)+(row+0.5-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))))),2)<=9 GROUP BY px.row, px.col)
- SELECT row, col, n_lines, CAST(6 AS INTEGER) AS code FROM hit""".replace("(SELECT 1)=1 AND ", "")
+ SELECT row, col, n_lines, CAST(6 AS INTEGER) AS code FROM hit"""
 
 
 @query("road_buffer", with_(ROADS, "px", "road"))
@@ -408,8 +406,8 @@ def polygonize_rings(spark, d):
         "patch", "comp", "ring_no", "is_hole", F.size("ring").alias("n_vertices"))
 
 
-@query("seed_features", with_(CLOSED + """ SELECT patch, row_number() OVER (PARTITION BY patch ORDER BY comp) AS id, CAST(3 AS INTEGER) AS class, n_px
-  FROM (SELECT patch, comp, count(*) AS n_px FROM num GROUP BY 1,2 HAVING count(*)>=6)""".replace("row_number() OVER (PARTITION BY patch ORDER BY comp)", "CAST(row_number() OVER (PARTITION BY patch ORDER BY comp) AS INTEGER)"), "ndvi", recursive=True))
+@query("seed_features", with_(CLOSED + """ SELECT patch, CAST(row_number() OVER (PARTITION BY patch ORDER BY comp) AS INTEGER) AS id, CAST(3 AS INTEGER) AS class, n_px
+  FROM (SELECT patch, comp, count(*) AS n_px FROM num GROUP BY 1,2 HAVING count(*)>=6)""", "ndvi", recursive=True))
 def seed_features(spark, d):
     closed = morphology.morph(_veg(spark, d, 0.2), "close", P, P, ["patch"])
     sizes = morphology.patch_components(closed, ["patch"], 4).groupBy("patch", "comp").agg(F.count(F.lit(1)).alias("n_px"))
@@ -417,10 +415,8 @@ def seed_features(spark, d):
 
 
 @query("component_boxes", with_(_mask_cte(0.0) + _erode("m0", "m1") + _dilate("m1", "m2") + _dilate("m2", "m3") + _erode("m3", "m4") + _label("m4", "lab", 8) + """
- SELECT grp AS patch, count(*) AS n_px, min(col)*0.3::DOUBLE+1000 AS "left", 2000-min(row)*0.3::DOUBLE AS top,
-  (max(col)+1)*0.3::DOUBLE+1000 AS "right", 2000-(max(row)+1)*0.3::DOUBLE AS bottom FROM lab GROUP BY grp, l HAVING count(*)>=30""", "ndvi", recursive=True).replace(
-    'min(col)*0.3::DOUBLE+1000 AS "left", 2000-min(row)*0.3::DOUBLE AS top,', 'round(min(col)*0.3::DOUBLE+1000,6) AS "left", round(2000-min(row)*0.3::DOUBLE,6) AS top,').replace(
-    '(max(col)+1)*0.3::DOUBLE+1000 AS "right", 2000-(max(row)+1)*0.3::DOUBLE AS bottom', 'round((max(col)+1)*0.3::DOUBLE+1000,6) AS "right", round(2000-(max(row)+1)*0.3::DOUBLE,6) AS bottom'))
+ SELECT grp AS patch, count(*) AS n_px, round(min(col)*0.3::DOUBLE+1000,6) AS "left", round(2000-min(row)*0.3::DOUBLE,6) AS top,
+  round((max(col)+1)*0.3::DOUBLE+1000,6) AS "right", round(2000-(max(row)+1)*0.3::DOUBLE,6) AS bottom FROM lab GROUP BY grp, l HAVING count(*)>=30""", "ndvi", recursive=True))
 def component_boxes(spark, d):
     m = morphology.morph(_veg(spark, d, 0.0), "open", P, P, ["patch"])
     m = morphology.morph(m, "close", P, P, ["patch"])
