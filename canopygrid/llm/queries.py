@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopygrid.llm import bpe, chat, packing, tokenfiles
+from canopygrid.llm import bpe, chat, language, packing, private, tokenfiles
 from canopygrid.session import cut_lineage, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,23 @@ def op9_chat(spark: SparkSession, d: str) -> DataFrame:
         "conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(F.array_join("back", ""), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query
+def op8_language(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").withColumn(
+        "held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
+    learned = language.learn(docs.where(~F.coalesce("held_out", F.lit(True))))
+    done = language.languages(docs.select(F.struct("doc_id", "held_out").alias("name"), "text"), learned, doc="text")
+    return done.select("name.doc_id", F.coalesce("name.held_out", F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+@query
+def op10_private(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = private.train(private.labelled_windows(docs, name="doc_id", doc="text"))
+    done = private.private_spans(docs, model, name="doc_id", doc="text")
+    said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return done.select("doc_id", *map(count, private.KINDS), F.sha2(said("base"), 256).alias("base_sha256"), said("spans").alias("spans"))
