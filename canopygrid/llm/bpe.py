@@ -25,7 +25,7 @@ from canopygrid.llm.common import need, slices, texts_of
 NONE = np.int64(1) << 62
 POS = (1 << 31) - 1
 SIDE_BY_SIDE = 256  # leaves: longer pieces get their own tree
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 
 
 class Vocabulary:
@@ -36,11 +36,21 @@ class Vocabulary:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.first = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.n = max(ranks.values()) + 1
-        pairs = {ranks[b[:i]] * self.n + ranks[b[i:]]: r for b, r in ranks.items()
-                 for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks}
-        self.pairs = pairs
-        self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.values = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
+
+    @functools.cached_property
+    def pairs(self) -> dict[int, int]:
+        """Rank of every pair that merges, by left * n + right. Decoding does without it."""
+        ranks = self.ranks
+        return {ranks[b[:i]] * self.n + ranks[b[i:]]: r for b, r in ranks.items()
+                for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks}
+
+    @functools.cached_property
+    def keys(self) -> np.ndarray:
+        return np.array(sorted(self.pairs), dtype=np.int64)
+
+    @functools.cached_property
+    def values(self) -> np.ndarray:
+        return np.array([self.pairs[k] for k in self.keys.tolist()], dtype=np.int64)
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -208,9 +218,13 @@ def local_path(path: str) -> str:
     return SparkFiles.get(path.removeprefix("files:")) if path.startswith("files:") else path
 
 
-def encode_docs(cfgs: DataFrame, vocab: str, pattern: str, name: str = "name", doc: str = "doc") -> DataFrame:
+def encode_docs(cfgs: DataFrame, vocab: str, pattern: str, name: str = "name", doc: str = "doc",
+                decoded: str | None = None) -> DataFrame:
     """Token ids of every whole document: ``name, n_tokens, ids``.
 
+    With ``decoded``, a column of that name holds the bytes decoded from the ids again, in the
+    same pass (a worker process less than with ``decode_docs`` after it).
+
     ``ids`` is binary, little-endian unsigned 32-bit. ``vocab`` is a rank file present on every
     machine (or ``files:x`` for one added with ``spark.addFile``); matches of ``pattern`` are
     encoded separately; characters outside all matches are dropped, as the rank library does. A null or empty document has no ids. Row by row:
@@ -218,18 +232,19 @@ def encode_docs(cfgs: DataFrame, vocab: str, pattern: str, name: str = "name", d
     """
     need(cfgs, name, doc)
     out = T.StructType([T.StructField("name", cfgs.schema[name].dataType), T.StructField("n_tokens", T.LongType()),
-                        T.StructField("ids", T.BinaryType())])
+                        T.StructField("ids", T.BinaryType()), *([T.StructField("back", T.BinaryType())] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(local_path(vocab), pattern)
         for b in slices(batches, "doc"):
             ids = enc(texts_of(b, "doc"))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                names=["name", "n_tokens", "ids"])
+            columns = [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            if decoded:
+                columns.append(pa.array(map(enc.vocab.decode, ids), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     done = cfgs.select(cfgs[name].alias("name"), cfgs[doc].cast("string").alias("doc")).mapInArrow(run, out)
-    return done.withColumnRenamed("name", name)
+    return done.withColumnsRenamed({"name": name} | ({"back": decoded} if decoded else {}))
 
 
 def decode_docs(encoded: DataFrame, vocab: str, ids: str = "ids", into: str = "doc_bytes") -> DataFrame:

@@ -39,9 +39,8 @@ def op1_packing(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op5_bpe(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    done = bpe.decode_docs(bpe.encode_docs(docs, RANKS, public_tokenizers.PATTERN, name="doc_id", doc="text")
-                           .withColumn("ids_sha256", F.sha2("ids", 256)), RANKS)
-    return done.select("doc_id", "n_tokens", "ids_sha256", F.sha2("doc_bytes", 256).alias("decoded_sha256"))
+    done = bpe.encode_docs(docs, RANKS, public_tokenizers.PATTERN, name="doc_id", doc="text", decoded="back")
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("back", 256).alias("decoded_sha256"))
 
 
 @query
