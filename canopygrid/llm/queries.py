@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopygrid.llm import bpe, chat, language, packing, private, tokenfiles
+from canopygrid.llm import bpe, chat, fingerprints, language, packing, private, tokenfiles
 from canopygrid.session import cut_lineage, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,22 @@ def op10_private(spark: SparkSession, d: str) -> DataFrame:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return done.select("doc_id", *map(count, private.KINDS), F.sha2(said("base"), 256).alias("base_sha256"), said("spans").alias("spans"))
+
+
+@query
+def op3_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    rows = fingerprints.with_next(table(spark, d, "documents"), name="doc_id", doc="text")
+    rows = rows.withColumn("doc", F.coalesce("doc", F.lit(""))).withColumn("next_doc", fingerprints.ahead("doc"))
+    n = F.length("doc")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("doc", F.lit(1), n - half), F.substring("next_doc", F.lit(1), half))
+    rows = rows.select("bucket", "guest", "key", "tie", n.cast("long").alias("n_chars"),
+                       F.when(~F.col("guest"), edited).alias("edited"), fingerprints.winnow("doc").alias("prints"))
+    rows = rows.withColumn("own", F.array_distinct("prints.hash"))
+    rows = rows.withColumn("next_own", fingerprints.ahead("own")).where(~F.col("guest"))
+    rows = fingerprints.fingerprint_docs(rows.withColumnRenamed("prints", "base"), doc="edited")
+    return rows.select(
+        F.col("key").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.digest("base").alias("fingerprint"), fingerprints.digest("prints").alias("edited_fingerprint"),
+        fingerprints.likeness("own", F.array_distinct("prints.hash")).alias("near_edited"),
+        fingerprints.likeness("own", "next_own").alias("near_next"))
