@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopygrid.llm import bpe, chat, fingerprints, language, packing, private, tokenfiles
+from canopygrid.llm import bpe, chat, fingerprints, language, packing, private, templates, tokenfiles
 from canopygrid.session import cut_lineage, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,12 @@ def op3_fingerprints(spark: SparkSession, d: str) -> DataFrame:
         fingerprints.digest("base").alias("fingerprint"), fingerprints.digest("prints").alias("edited_fingerprint"),
         fingerprints.likeness("own", F.array_distinct("prints.hash")).alias("near_edited"),
         fingerprints.likeness("own", "next_own").alias("near_next"))
+
+
+@query
+def op7_templates(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return templates.drop_templates(docs, name="doc_id", doc="text", dropped="lines_dropped")
+
+
+ORACLES["op7_templates"] = templates.SQL
