@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopygrid.llm import bpe, chat, fingerprints, language, packing, private, templates, tokenfiles
+from canopygrid.llm import bpe, chat, fingerprints, language, neardup, packing, private, templates, tokenfiles
 from canopygrid.session import cut_lineage, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,8 @@ def op7_templates(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLES["op7_templates"] = templates.SQL
+
+
+@query
+def op4_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, d, "documents"), name="doc_id", doc="text")
