@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopygrid.llm import bpe, chat, fingerprints, language, neardup, packing, private, templates, tokenfiles
+from canopygrid.llm import bpe, chat, fingerprints, language, nearest, neardup, packing, private, templates, tokenfiles
 from canopygrid.session import cut_lineage, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,10 @@ ORACLES["op7_templates"] = templates.SQL
 @query
 def op4_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, d, "documents"), name="doc_id", doc="text")
+
+
+@query
+def op2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    chips = table(spark, d, "embeddings").withColumnsRenamed({"vec_id": "chip", "embedding": "v"})
+    done = nearest.nearest_chips(chips, chips.where(F.col("chip") % 100 == 0))
+    return done.select(F.col("query").alias("query_id"), "rank", F.col("chip").alias("vec_id"), "score")
