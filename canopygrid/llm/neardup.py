@@ -6,8 +6,9 @@ with that coordinate's value. A node of few classes is compared exhaustively. A
 first has a few of its classes compared with all (point comparisons); classes that are
 connected by then need no further comparison with each other, so only those outside the
 node's largest connected part go on: against all others in blocks when that is little work,
-else the node branches again, by coordinates chosen from its own name. A pair is looked at in
-the tree of the first root it shares. Signatures only choose what is compared; every link is
+else the node branches again, by coordinates chosen from its own name. A pair is looked at
+once, at the first root it shares whose node does not branch, and in every tree below nodes
+that do. Signatures only choose what is compared; every link is
 confirmed on the full sets.
 """
 
@@ -29,7 +30,7 @@ PERCENT = 75  # 100 * intersection >= PERCENT * union
 SMALL = 128  # classes in a node that is compared exhaustively at once
 POINTS = 8  # classes of a larger node that are compared with all of it
 WORK = 4_000_000  # comparisons of one node that are done in blocks; beyond, it branches
-BRANCHES, MAX_DEPTH = 2, 8
+BRANCHES, MAX_DEPTH = 3, 8
 SURE = 0.5  # an agreement of signatures below this excludes PERCENT but for 2 in a million pairs
 
 SIG_BYTES = 4 * ROOTS + 2 * COORDS
@@ -105,40 +106,43 @@ def branch(rows: DataFrame) -> DataFrame:
     return rows.select("node", "root", "cid", "sig").mapInArrow(run, NODE)
 
 
-def _agreeing(low: np.ndarray, roots_: np.ndarray, i: int, root: int) -> np.ndarray:
-    """Which rows agree with row ``i`` in enough coordinates and meet it first at ``root``."""
+def _agreeing(low: np.ndarray, roots_: np.ndarray, spared: np.ndarray, i: int, root: int) -> np.ndarray:
+    """Which rows agree with row ``i`` in enough coordinates and are to meet it here.
+
+    ``root`` -1 stands for any; ``spared`` has a bit for every root whose node branches.
+    """
     near = (low == low[i]).sum(axis=1) >= SURE * COORDS
-    near &= roots_[:, root] == roots_[i, root]
-    if root:
-        near &= ~(roots_[:, :root] == roots_[i, :root]).any(axis=1)
+    if root > 0:
+        earlier = (spared[i] >> np.arange(root)) & 1 == 0
+        near &= ~((roots_[:, :root] == roots_[i, :root]) & earlier).any(axis=1)
     near[i] = False
     return near
 
 
 GROUP = T.StructType([T.StructField("gid", T.LongType()), T.StructField("root", T.IntegerType()), T.StructField("cid", T.LongType()),
-                      T.StructField("sig", T.BinaryType()), T.StructField("label", T.LongType()), T.StructField("asks", T.BooleanType())])
-WANTED = T.StructType([f for f in GROUP.fields if f.name != "sig"] + [T.StructField("sig", T.BinaryType())])
+                      T.StructField("sig", T.BinaryType()), T.StructField("label", T.LongType()), T.StructField("asks", T.BooleanType()),
+                      T.StructField("spared", T.IntegerType())])
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 def _wanted(table: pa.Table) -> pa.Table:
     """The rows of one group with at least one partner by signature, asker or asked, under another label."""
     t = table.combine_chunks()
-    column = {n: t.column(n).to_numpy(zero_copy_only=False) for n in ("label", "asks")}
+    column = {n: t.column(n).to_numpy(zero_copy_only=False) for n in ("label", "asks", "spared")}
     roots_, low = _unpack(t.column("sig"))
     root, take = t.column("root")[0].as_py(), np.zeros(t.num_rows, dtype=bool)
     for i in np.flatnonzero(column["asks"]):
-        near = _agreeing(low, roots_, i, root) & (column["label"] != column["label"][i])
+        near = _agreeing(low, roots_, column["spared"], i, root) & (column["label"] != column["label"][i])
         if near.any():
             take |= near
             take[i] = True
-    return t.filter(pa.array(take)).select([f.name for f in WANTED.fields])
+    return t.filter(pa.array(take)).select([f.name for f in GROUP.fields])
 
 
 def _linked(table: pa.Table) -> pa.Table:
     """Links of one group confirmed on full sets, as few as connect what is connected."""
     t = table.combine_chunks()
-    cid, label, asks = (t.column(n).to_numpy(zero_copy_only=False) for n in ("cid", "label", "asks"))
+    cid, label, asks, spared = (t.column(n).to_numpy(zero_copy_only=False) for n in ("cid", "label", "asks", "spared"))
     roots_, low = _unpack(t.column("sig"))
     root, raw = t.column("root")[0].as_py(), t.column("set").to_pylist()
     sets: dict[int, np.ndarray] = {}
@@ -157,7 +161,7 @@ def _linked(table: pa.Table) -> pa.Table:
 
     links = []
     for i in np.flatnonzero(asks):
-        near = np.flatnonzero(_agreeing(low, roots_, i, root))
+        near = np.flatnonzero(_agreeing(low, roots_, spared, i, root))
         for j in near[np.argsort(-(low[near] == low[i]).sum(axis=1), kind="stable")]:
             a, b = top(int(label[i])), top(int(label[j]))
             if a == b:
@@ -175,7 +179,8 @@ def _linked(table: pa.Table) -> pa.Table:
 
 def confirm(groups: DataFrame, classes: DataFrame, docs: DataFrame, name: str, doc: str) -> DataFrame:
     """Links between the classes of each group; ``asks`` rows are compared with all rows of the group."""
-    wanted = cut_lineage(groups.groupBy("gid").applyInArrow(_wanted, WANTED))
+    groups = groups.select(*[f.name for f in GROUP.fields])
+    wanted = cut_lineage(groups.groupBy("gid").applyInArrow(_wanted, GROUP))
     # one document of each wanted class gives its set
     keys = wanted.select("cid").distinct().join(classes.select("cid", "key"), "cid")
     texts = docs.select(docs[name].alias("key"), docs[doc].cast("string").alias("doc")).join(keys.select("key").distinct(), "key")
@@ -247,27 +252,30 @@ def near_duplicates(cfgs: DataFrame, name: str = "name", doc: str = "doc") -> Da
         mixed = live.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("node")
         live = cut_lineage(live.join(mixed, "node"))
         small, large = live.where(F.col("m") <= SMALL), cut_lineage(live.where(F.col("m") > SMALL))
-        groups = small.select(F.xxhash64("node", F.lit(0)).alias("gid"), "root", "cid", "sig", "label", F.lit(True).alias("asks"))
-        some = not large.isEmpty()
-        if some:
-            groups = groups.unionByName(_blocks(large, _points(large)))
+        at = F.when(F.lit(depth) == 0, F.col("root")).otherwise(F.lit(-1))
+        groups = small.select(F.xxhash64("node", F.lit(0)).alias("gid"), at.alias("root"), "cid", "sig", "label", F.lit(True).alias("asks"))
+        deeper = None
+        if not large.isEmpty():
+            points = _blocks(large, _points(large)).withColumns({"root": F.lit(-1), "spared": F.lit(0)})
+            links.append(confirm(points, classes, cfgs, name, doc))
+            # what the point comparisons left apart
+            large = _labelled(large.drop("label"), links)
+            main = large.groupBy("node", "label").count().groupBy("node").agg(
+                F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("parts")).where("parts > 1").select(
+                "node", F.col("top.label").alias("main"), ((F.col("all") - F.col("top.count")) * F.col("all")).alias("work"))
+            large = cut_lineage(large.join(main, "node"))
+            few = (F.col("work") <= WORK) | F.lit(depth == MAX_DEPTH)
+            direct = large.where(few)
+            asking = direct.where(F.col("label") != F.col("main")).select("node", "cid", F.lit(True).alias("asks"))
+            groups = groups.unionByName(_blocks(direct, asking).withColumn("root", at))
+            deeper = large.where(~few)
+        if depth == 0 and deeper is not None:
+            spared = deeper.groupBy("cid").agg(F.bit_or(F.pow(F.lit(2), "root").cast("int")).alias("spared"))
+            groups = groups.join(spared, "cid", "left").withColumn("spared", F.coalesce("spared", F.lit(0)))
+        else:
+            groups = groups.withColumn("spared", F.lit(0))
         links.append(confirm(groups, classes, cfgs, name, doc))
-        if not some:
-            break
-        # what the point comparisons left apart
-        large = _labelled(large.drop("label"), links)
-        count = large.groupBy("node", "label").count()
-        main = count.groupBy("node").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("all"),
-                                         F.count("*").alias("parts")).where("parts > 1").select(
-            "node", F.col("top.label").alias("main"), ((F.col("all") - F.col("top.count")) * F.col("all")).alias("work"))
-        large = cut_lineage(large.join(main, "node"))
-        last = F.lit(depth == MAX_DEPTH)
-        direct = large.where((F.col("work") <= WORK) | last)
-        asking = direct.where(F.col("label") != F.col("main")).select("node", "cid", F.lit(True).alias("asks"))
-        if not asking.isEmpty():
-            links.append(confirm(_blocks(direct, asking), classes, cfgs, name, doc))
-        deeper = large.where((F.col("work") > WORK) & ~last)
-        if deeper.isEmpty():
+        if deeper is None or deeper.isEmpty():
             break
         nodes = cut_lineage(branch(deeper).distinct())
     placed = _labelled(classes.select("cid", "key"), links)

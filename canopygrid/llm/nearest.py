@@ -3,7 +3,8 @@
 Centroids come from a bounded sample of chip vectors, with a clustering that charges full
 lists more. Every chip goes to its nearest centroid's list and, near a boundary, to the other
 lists whose centroids are about as close. A query walks the graph of centroids and reads only
-the lists whose distance stays within a ratio of the nearest one. Lists are read in blocks and
+the lists whose distance stays within a ratio of the nearest one; the ratio is fitted on the
+sample, for a stated recall. Lists are read in blocks and
 their queries too, so a list that holds a third of all chips is many small groups.
 """
 
@@ -26,7 +27,8 @@ ITERATIONS = 8
 BALANCE = 0.15  # what a list twice as long as the mean costs more, as a share of the mean distance
 NEIGHBOURS, BEAM = 16, 48
 REPLICA_RATIO, REPLICAS = 1.04, 4
-SEARCH_RATIO = 1.18
+RECALL = 0.97  # share of the sample's own nearest chips that the lists read must hold
+PROBES = 256  # chips of the sample that the distance ratio is fitted on
 ROWS = 1024  # chips, and queries, in one group
 
 
@@ -109,6 +111,27 @@ def centroids(sample: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
     return points
 
 
+def fitted_ratio(sample: np.ndarray, graph: Graph, k: int, recall: float = RECALL) -> float:
+    """How much farther than the nearest centroid a list may lie and still be read.
+
+    The ratio that reaches ``recall`` of the true ``k`` nearest among the sample. The sample is
+    sparser than all chips, so its nearest lie farther out and the ratio errs to the wide side.
+    """
+    to_list = lambda x: np.sqrt(((x[:, None, :] - graph.points) ** 2).sum(axis=2))
+    owner = np.concatenate([to_list(sample[a:a + 256]).argmin(axis=1) for a in range(0, len(sample), 256)])
+    asked = sample[:PROBES]
+    lists = to_list(asked)
+    needed = []
+    for i, q in enumerate(asked):
+        d = ((sample - q) ** 2).sum(axis=1)
+        d[i] = np.inf
+        best = np.argsort(d, kind="stable")[:k]
+        best = best[np.isfinite(d[best])]
+        needed.append(lists[i, owner[best]] / max(lists[i].min(), 1e-12))
+    needed = np.concatenate(needed)
+    return float(np.quantile(needed, recall)) + 1e-9 if len(needed) else 1.0
+
+
 def usable(chips: DataFrame, chip: str, bands: str) -> DataFrame:
     """``chip, v``: vectors without null or non-finite components and not all zero, as doubles."""
     v = F.col(bands).cast("array<double>")
@@ -147,7 +170,7 @@ def postings(vectors: DataFrame, graph: Graph) -> DataFrame:
 PROBE = T.StructType([T.StructField("list", T.IntegerType()), T.StructField("chip", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
 
 
-def probes(queries: DataFrame, graph: Graph, held: np.ndarray, k: int, ratio: float = SEARCH_RATIO) -> DataFrame:
+def probes(queries: DataFrame, graph: Graph, held: np.ndarray, k: int, ratio: float) -> DataFrame:
     """``list, chip, v``: the lists each query reads.
 
     Lists within ``ratio`` of the nearest centroid's distance, and as many more, nearest first,
@@ -177,8 +200,7 @@ def probes(queries: DataFrame, graph: Graph, held: np.ndarray, k: int, ratio: fl
 FOUND = T.StructType([T.StructField("query", T.LongType()), T.StructField("chip", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
-def nearest_chips(chips: DataFrame, queries: DataFrame, k: int = 10, chip: str = "chip", bands: str = "v",
-                  ratio: float = SEARCH_RATIO) -> DataFrame:
+def nearest_chips(chips: DataFrame, queries: DataFrame, k: int = 10, chip: str = "chip", bands: str = "v") -> DataFrame:
     """``query, rank, chip, score``: the ``k`` nearest found of each query chip, nearest first.
 
     ``score`` is the Euclidean distance of the original vectors in double precision; ties go to
@@ -197,6 +219,7 @@ def nearest_chips(chips: DataFrame, queries: DataFrame, k: int = 10, chip: str =
         return spark.createDataFrame([], "query long, rank int, chip long, score double")
     lists = int(max(1, min(len(fitted) // 4, round(size ** 0.5))))
     graph = Graph.build(centroids(fitted, lists))
+    ratio = fitted_ratio(fitted, graph, k)
     rows = cut_lineage(postings(vectors.dropDuplicates(["chip"]), graph))
     sizes = {r["list"]: (r["n"], r["own"]) for r in rows.groupBy("list").agg(
         F.count("*").alias("n"), F.sum(F.col("first").cast("long")).alias("own")).collect()}  # one row per list
