@@ -2,18 +2,19 @@
 
 Documents with equal shingle sets form one class and are never paired. Every class enters the
 roots of independent trees: a root's node is a coordinate of its minwise signature together
-with that coordinate's value. A node of few classes is compared exhaustively. A larger node
-first has a few of its classes compared with all (point comparisons); classes that are
-connected by then need no further comparison with each other, so only those outside the
-node's largest connected part go on: against all others in blocks when that is little work,
-else the node branches again, by coordinates chosen from its own name. A pair is looked at
-once, at the first root it shares whose node does not branch, and in every tree below nodes
-that do. Signatures only choose what is compared; every link is
-confirmed on the full sets.
+with that coordinate's value. A node of few classes is compared exhaustively. A larger one is
+sounded with a few of its classes: if few others resemble them it branches at once, by pairs
+of coordinates chosen from its own name. If many do, those few are compared with all (point
+comparisons); classes that are connected by then need no further comparison with each other,
+so only those outside the node's largest connected part go on: against all others in blocks
+when that is little work, else the node branches too. A pair is looked at once, at the first
+root it shares whose node does not branch, and in every tree below nodes that do. Signatures
+only choose what is compared; every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,11 @@ from canopygrid.session import cut_lineage
 PERCENT = 75  # 100 * intersection >= PERCENT * union
 SMALL = 128  # classes in a node that is compared exhaustively at once
 POINTS = 8  # classes of a larger node that are compared with all of it
-WORK = 4_000_000  # comparisons of one node that are done in blocks; beyond, it branches
-BRANCHES, MAX_DEPTH = 3, 8
+BLOCK = 512  # classes in a block of a larger node
+WORK = 2_000_000  # comparisons of one node that are done in blocks; beyond, it branches
+VARIED = 0.3  # a node in which fewer classes than this share resemble any sounding class branches at once
+BRANCHES, MAX_DEPTH = 6, 6
+BROADCAST_KEYS = 1_000_000  # document keys (16 MB) that may be sent to every task; more are joined by a shuffle
 SURE = 0.5  # an agreement of signatures below this excludes PERCENT but for 2 in a million pairs
 
 SIG_BYTES = 4 * ROOTS + 2 * COORDS
@@ -98,8 +102,9 @@ def branch(rows: DataFrame) -> DataFrame:
             node, root, cid = (b.column(i).to_numpy() for i in range(3))
             low, names = _unpack(b.column(3))[1], []
             for j in range(BRANCHES):
-                chosen = ROOTS + (_names(node, np.full(len(node), j)).astype(np.uint64) >> np.uint64(33)).astype(np.int64) % (COORDS - ROOTS)
-                names.append(_names(node, chosen, low[np.arange(len(node)), chosen]))
+                pick = _names(node, np.full(len(node), j)).astype(np.uint64) >> np.uint64(20)
+                one, two = (ROOTS + (x % np.uint64(COORDS - ROOTS)).astype(np.int64) for x in (pick, pick >> np.uint64(16)))
+                names.append(_names(node, one, two, low[np.arange(len(node)), one], low[np.arange(len(node)), two]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.tile(root, BRANCHES)),
                                               pa.array(np.tile(cid, BRANCHES))], names=NODE.names)
 
@@ -162,17 +167,21 @@ def _linked(table: pa.Table) -> pa.Table:
     links = []
     for i in np.flatnonzero(asks):
         near = np.flatnonzero(_agreeing(low, roots_, spared, i, root))
-        for j in near[np.argsort(-(low[near] == low[i]).sum(axis=1), kind="stable")]:
-            a, b = top(int(label[i])), top(int(label[j]))
-            if a == b:
+        near = near[np.argsort(-(low[near] == low[i]).sum(axis=1), kind="stable")]
+        for at in range(0, len(near), 64):
+            part = [j for j in near[at:at + 64] if top(int(label[i])) != top(int(label[j]))]
+            if not part:
                 continue
-            x, y = full(i), full(j)
-            if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-                continue
-            both = int(np.isin(x, y, assume_unique=True).sum()) if len(x) < 64 else len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                links.append((int(cid[i]), int(cid[j])))
-                parent[max(a, b)] = min(a, b)
+            x, others = full(i), [full(j) for j in part]
+            sizes = np.array([len(y) for y in others])
+            flat = np.concatenate(others)
+            inside = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+            both = np.add.reduceat(inside, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+            for j in np.flatnonzero(100 * both >= PERCENT * (len(x) + sizes - both)):
+                a, b = top(int(label[i])), top(int(label[part[j]]))
+                if a != b:
+                    links.append((int(cid[i]), int(cid[part[j]])))
+                    parent[max(a, b)] = min(a, b)
     a, b = zip(*links, strict=True) if links else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -182,8 +191,9 @@ def confirm(groups: DataFrame, classes: DataFrame, docs: DataFrame, name: str, d
     groups = groups.select(*[f.name for f in GROUP.fields])
     wanted = cut_lineage(groups.groupBy("gid").applyInArrow(_wanted, GROUP))
     # one document of each wanted class gives its set
-    keys = wanted.select("cid").distinct().join(classes.select("cid", "key"), "cid")
-    texts = docs.select(docs[name].alias("key"), docs[doc].cast("string").alias("doc")).join(keys.select("key").distinct(), "key")
+    keys = cut_lineage(wanted.select("cid").distinct().join(classes.select("cid", "key"), "cid").select("key").distinct())
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    texts = docs.select(docs[name].alias("key"), docs[doc].cast("string").alias("doc")).join(keys, "key")
     out = T.StructType([T.StructField("cid", T.LongType()), T.StructField("set", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,43 +251,49 @@ def near_duplicates(cfgs: DataFrame, name: str = "name", doc: str = "doc") -> Da
     classes = cut_lineage(every.where(F.col("cid").isNotNull()).groupBy("cid").agg(
         F.min("key").alias("key"), F.first("sig").alias("sig"), F.first("n").alias("n")))
     links: list[DataFrame] = []
+    groups: list[DataFrame] = []
+    spared = None
     nodes = roots(classes)
     for depth in range(MAX_DEPTH + 1):
         sizes = nodes.groupBy("node").count().where("count > 1").withColumnRenamed("count", "m")
-        live = cut_lineage(nodes.join(sizes, "node").join(classes.select("cid", "sig", "n"), "cid"))
+        live = cut_lineage(nodes.join(sizes, "node").join(classes.select("cid", "sig"), "cid"))
         if live.isEmpty():
             break
-        live = _labelled(live, links)
-        # nodes whose classes are all connected already need no more comparisons
-        mixed = live.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("node")
-        live = cut_lineage(live.join(mixed, "node"))
-        small, large = live.where(F.col("m") <= SMALL), cut_lineage(live.where(F.col("m") > SMALL))
-        at = F.when(F.lit(depth) == 0, F.col("root")).otherwise(F.lit(-1))
-        groups = small.select(F.xxhash64("node", F.lit(0)).alias("gid"), at.alias("root"), "cid", "sig", "label", F.lit(True).alias("asks"))
-        deeper = None
-        if not large.isEmpty():
-            points = _blocks(large, _points(large)).withColumns({"root": F.lit(-1), "spared": F.lit(0)})
-            links.append(confirm(points, classes, cfgs, name, doc))
+        if links:  # nodes whose classes are all connected already need no more comparisons
+            live = _labelled(live, links)
+            mixed = live.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("node")
+            live = cut_lineage(live.join(mixed, "node"))
+        else:
+            live = live.withColumn("label", F.col("cid"))
+        at = F.when(F.lit(depth == 0), F.col("root")).otherwise(F.lit(-1))
+        groups.append(live.where(F.col("m") <= SMALL).select(
+            F.xxhash64("node", F.lit(0)).alias("gid"), at.alias("root"), "cid", "sig", "label", F.lit(True).alias("asks")))
+        large = cut_lineage(live.where(F.col("m") > SMALL))
+        if large.isEmpty():
+            break
+        last = F.lit(depth == MAX_DEPTH)
+        large = cut_lineage(large.join(_sounded(large), "node"))
+        deeper, alike = large.where((F.col("near") < VARIED) & ~last), large.where((F.col("near") >= VARIED) | last)
+        if not alike.isEmpty():
+            links.append(confirm(_blocks(alike, _points(alike)).withColumns({"root": F.lit(-1), "spared": F.lit(0)}), classes, cfgs, name, doc))
             # what the point comparisons left apart
-            large = _labelled(large.drop("label"), links)
-            main = large.groupBy("node", "label").count().groupBy("node").agg(
+            alike = _labelled(alike.drop("label"), links)
+            main = alike.groupBy("node", "label").count().groupBy("node").agg(
                 F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("parts")).where("parts > 1").select(
                 "node", F.col("top.label").alias("main"), ((F.col("all") - F.col("top.count")) * F.col("all")).alias("work"))
-            large = cut_lineage(large.join(main, "node"))
-            few = (F.col("work") <= WORK) | F.lit(depth == MAX_DEPTH)
-            direct = large.where(few)
+            alike = cut_lineage(alike.join(main, "node"))
+            few = (F.col("work") <= WORK) | last
+            direct = alike.where(few)
             asking = direct.where(F.col("label") != F.col("main")).select("node", "cid", F.lit(True).alias("asks"))
-            groups = groups.unionByName(_blocks(direct, asking).withColumn("root", at))
-            deeper = large.where(~few)
-        if depth == 0 and deeper is not None:
+            groups.append(_blocks(direct, asking).withColumn("root", at))
+            deeper = deeper.unionByName(alike.where(~few).select(*deeper.columns))
+        if depth == 0:
             spared = deeper.groupBy("cid").agg(F.bit_or(F.pow(F.lit(2), "root").cast("int")).alias("spared"))
-            groups = groups.join(spared, "cid", "left").withColumn("spared", F.coalesce("spared", F.lit(0)))
-        else:
-            groups = groups.withColumn("spared", F.lit(0))
-        links.append(confirm(groups, classes, cfgs, name, doc))
-        if deeper is None or deeper.isEmpty():
-            break
         nodes = cut_lineage(branch(deeper).distinct())
+    if groups:
+        every_group = functools.reduce(DataFrame.unionByName, groups)
+        every_group = every_group.join(spared, "cid", "left") if spared is not None else every_group.withColumn("spared", F.lit(None).cast("int"))
+        links.append(confirm(every_group.withColumn("spared", F.coalesce("spared", F.lit(0))), classes, cfgs, name, doc))
     placed = _labelled(classes.select("cid", "key"), links)
     least = placed.groupBy("label").agg(F.min("key").alias("component_id"))
     of_class = placed.join(least, "label").select("cid", "component_id")
@@ -294,14 +310,31 @@ def _points(rows: DataFrame) -> DataFrame:
         "node", F.explode(F.array_distinct(F.array(*[f"p{j}.cid" for j in range(POINTS)]))).alias("cid"), F.lit(True).alias("asks"))
 
 
-def _blocks(rows: DataFrame, asking: DataFrame) -> DataFrame:
-    """Groups that let every ``asking`` class of a node meet all its rows, in blocks of about ``SMALL``.
+def _sounded(rows: DataFrame) -> DataFrame:
+    """``node, near``: the share of each node's classes whose signature resembles a sounding class's."""
+    out = T.StructType([T.StructField("node", T.LongType()), T.StructField("hit", T.LongType()), T.StructField("all", T.LongType())])
+
+    def sound(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        asks = t.column("asks").to_numpy(zero_copy_only=False)
+        low, near = _unpack(t.column("sig"))[1], np.zeros(t.num_rows, dtype=bool)
+        for i in np.flatnonzero(asks):
+            near |= (low == low[i]).sum(axis=1) >= SURE * COORDS
+        return pa.table({"node": t.column("node").slice(0, 1), "hit": pa.array([int((near & ~asks).sum())], pa.int64()),
+                         "all": pa.array([int((~asks).sum())], pa.int64())})
+
+    blocks = _blocks(rows, _points(rows), keep="node")
+    return blocks.groupBy("gid").applyInArrow(sound, out).groupBy("node").agg((F.sum("hit") / F.greatest(F.sum("all"), F.lit(1))).alias("near"))
+
+
+def _blocks(rows: DataFrame, asking: DataFrame, keep: str = "root") -> DataFrame:
+    """Groups that let every ``asking`` class of a node meet all its rows, in blocks of about ``BLOCK``.
 
     A row stands in its own block; an asking class stands in all blocks of its node.
     """
     marked = rows.join(asking, ["node", "cid"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    blocks = F.ceil(F.col("m") / F.lit(SMALL)).cast("int")
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("cid", F.lit(7)), blocks).cast("int")
     where = F.when(F.col("asks"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
     return marked.withColumn("block", F.explode(where)).select(
-        F.xxhash64("node", "block", F.lit(1)).alias("gid"), "root", "cid", "sig", "label", "asks")
+        F.xxhash64("node", "block", F.lit(1)).alias("gid"), keep, "cid", "sig", "label", "asks")

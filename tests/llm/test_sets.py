@@ -67,6 +67,7 @@ def test_near_duplicates_equal_brute_force(cfgs):
 
 def test_large_group_of_varied_copies(cfgs, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 16)  # so that points, blocks and branches all take part
+    monkeypatch.setattr(neardup, "BLOCK", 16)
     monkeypatch.setattr(neardup, "WORK", 2000)
     check(cfgs, corpus(2, [160], 7, 2) + [(5000 + i, t) for i, t in corpus(10, [1, 3], 2, 3)])
 
