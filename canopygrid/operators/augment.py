@@ -35,7 +35,7 @@ def moved(arr: str, size: int, draws: Column) -> Column:
 
 def d4_draws(key: str, epoch: int, seed: int = 42) -> dict[str, Column]:
     """Two fair flips and one uniform quarter turn, as separate bits of one draw."""
-    h = order_key(key, seed + 7919 * epoch)
+    h = order_key(key, seed, epoch)
     bit = lambda k: F.shiftright(h, k)
     return {"flip_h": bit(30) % 2 == 1, "flip_v": bit(29) % 2 == 1, "turns": (bit(27) % 4).cast("int")}
 
@@ -49,7 +49,7 @@ def augment_d4(chips: DataFrame, key: str, size: int, arrays: list[str], epoch:
 def augment_crop(chips: DataFrame, key: str, size: int, arrays: list[str], epoch: int, seed: int = 42,
                  p: float = 0.5, lo: float = 0.25) -> DataFrame:
     """Square crop covering lo..1 of the area, resampled back by nearest neighbour."""
-    u = lambda k: unit_draw(key, seed + 7919 * epoch + 104729 * k)
+    u = lambda k: unit_draw(key, seed, epoch, k)
     side = F.greatest(F.round(F.sqrt(F.lit(lo) + u(1) * (1 - lo)) * size), F.lit(1)).cast("int")
     side = F.when(u(0) < p, side).otherwise(size)
 
@@ -73,7 +73,7 @@ def augment_radiometric(chips: DataFrame, key: str, bands: list[str], epoch: int
                         p: float = 0.8, brightness: float = 0.05, contrast: float = 0.15) -> DataFrame:
     """Brightness and contrast on the listed bands (values in [0, 1]); the city model
     lists the imagery bands only, pretraining lists all of them."""
-    u = lambda k: unit_draw(key, seed + 7919 * epoch + 15485863 * k)
+    u = lambda k: unit_draw(key, seed, epoch, k)
     gain = F.when(u(0) < p, 1.0 + (u(1) * 2 - 1) * contrast).otherwise(1.0)
     shift = F.when(u(0) < p, (u(2) * 2 - 1) * brightness).otherwise(0.0)
     draw = F.struct(gain.alias("gain"), shift.alias("shift"))

@@ -64,7 +64,7 @@ def restamp(ft: DataFrame, epsg: int) -> DataFrame:
     return ft.withColumn("epsg", F.lit(epsg))
 
 
-def seed_features(ft: DataFrame, cls: int, within: str | None = None, order=("comp",)) -> DataFrame:
+def seed_features(ft: DataFrame, cls: int, within: str, order=("comp",)) -> DataFrame:
     """Ids 1..n per patch and an int class. An empty input keeps the schema."""
     from pyspark.sql import Window as W
 

@@ -65,13 +65,13 @@ def class_weights(counts: DataFrame, cls: str = "cls", n: str = "n", cap: float
 
 def weighted_ce(scored: DataFrame, weights: DataFrame, truth: str = "truth", probs: str = "probs",
                 k: int = 7) -> DataFrame:
-    """Weighted mean of -ln p(truth) over labeled pixels.
+    """Weighted mean of -ln p(truth) over labeled pixels; infinite where a truth has probability 0.
 
     Per-class sums first, so the K weights meet K rows and not every pixel.
     """
     p = F.get(F.col(probs), F.col(truth).cast("int"))
     per = scored.where(F.col(truth).between(0, k - 1)).groupBy(F.col(truth).alias("cls")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(-F.log(p)).alias("_l"))
+        F.count(F.lit(1)).alias("_n"), F.sum(F.when(p == 0, F.lit(float("inf"))).otherwise(-F.log(p))).alias("_l"))
     return per.join(weights, "cls").agg(
         (F.sum(F.col("weight") * F.col("_l")) / F.sum(F.col("weight") * F.col("_n"))).alias("ce"))
 

@@ -128,48 +128,41 @@ def component_boxes(px: DataFrame, within: list[str], conn: int = 8, min_px: int
 def _star_round(edges: DataFrame) -> DataFrame:
     """One large-star then small-star pass over edges (u, v) with u > v.
 
-    The smallest neighbour of each node comes from a map-side combined aggregate. A
-    node that became the centre of a large star is a hot join key; adaptive skew
-    handling splits the edge side, and the other side has one row per node.
+    The smallest neighbour of each node comes from a map-side combined aggregate and is
+    written before it is joined: a node that became the centre of a large star is a hot key
+    of the edge side, which adaptive execution can split only if both sides of the join
+    are plain shuffles of written rows.
     """
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    large = large.where(F.col("u") != F.col("v")).distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(low, "u")
+    large = cut_lineage(large.where(F.col("u") != F.col("v")).distinct())
+    low = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
     kept = low.select("u", F.col("m").alias("v"))
-    moved = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return kept.union(moved).distinct()
 
 
-def contract(edges: DataFrame, small_edges: int = 200_000) -> DataFrame:
+def contract(edges: DataFrame) -> DataFrame:
     """Root (smallest node) of every node in an edge list (a, b).
 
-    Star passes run until nothing changes. Once the remaining list is at most
-    ``small_edges`` long it is finished by one bounded union-find task.
+    Star passes run, whatever the number of edges, until a pass leaves the list as it was;
+    number and combined hash of the edges tell.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = cut_lineage(e.where(F.col("u") != F.col("v")).distinct())
-    n = e.count()
-    while n > small_edges:
-        nxt = cut_lineage(_star_round(e))
-        same = nxt.count() == n and nxt.exceptAll(e).isEmpty()
-        e, n = nxt, nxt.count()
-        if same:
+    state = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+    was = state(e)
+    while True:
+        e = cut_lineage(_star_round(e))
+        now = state(e)
+        if now == was:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, flat = np.unique(pdf[["u", "v"]].to_numpy().ravel(), return_inverse=True)
-        pair = flat.reshape(-1, 2)
-        root = _merge(len(nodes), pair[:, 0], pair[:, 1])
-        return pd.DataFrame({"node": nodes, "root": nodes[root]})
-
-    return e.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(finish, "node long, root long")
+        was = now
 
 
 def components(px: DataFrame, conn: int = 8, block: int = 256, value: str | None = None,
-               row="row", col="col", small_edges: int = 200_000, stride: int = 1 << 31) -> DataFrame:
+               row="row", col="col", stride: int = 1 << 31) -> DataFrame:
     """Components of a mosaic plane of any size; ``comp`` is the smallest pixel id
     (row*stride + col) of the component.
 
@@ -199,7 +192,7 @@ def components(px: DataFrame, conn: int = 8, block: int = 256, value: str | None
         *([value] if value else []), F.col("_br").alias("_ar"), F.col("_bc").alias("_ac"), F.col("_local").alias("a"))
     other = (F.col("_ar") != F.col("_br")) | (F.col("_ac") != F.col("_bc"))
     pairs = ahead.join(seam.withColumnRenamed("_local", "b"), names).where(other).select("a", "b")
-    roots = contract(pairs, small_edges).withColumnRenamed("node", "_local")
+    roots = contract(pairs).withColumnRenamed("node", "_local")
     return local.join(roots, "_local", "left").select(
         *names, F.coalesce("root", "_local").alias("comp"))
 

@@ -65,7 +65,7 @@ def assign_split(tiles: DataFrame, key, ratio: float = VAL_RATIO, seed: int = 42
 
 def epoch_order(grid: DataFrame, key, epoch: int, seed: int = 42) -> DataFrame:
     """Full-coverage grid with an order key that changes every epoch."""
-    return grid.withColumn("order_key", order_key(key, seed + 7919 * epoch))
+    return grid.withColumn("order_key", order_key(key, seed, epoch))
 
 
 def skip_reasons(tiles: DataFrame) -> DataFrame:

@@ -254,21 +254,18 @@ def row_blocks(px: DataFrame, values: list[str], block: int) -> DataFrame:
 
 
 def zonal(px: DataFrame, ft: DataFrame, values: list[str], key: str = "fid", block: int = 64,
-          window: str = "polygon", max_group_px: int = 4_000_000) -> DataFrame:
+          window: str = "polygon") -> DataFrame:
     """Exact median of each value under each feature; NULL where nothing is covered.
 
-    ``polygon`` uses pixel centres inside the ring, ``bbox`` the ring's box. Pixels and
-    feature spans meet once per (row, column block), where the span is cut out of the
-    block's array, so the join yields one row per span and not one per pixel. Features up
-    to ``max_group_px`` box pixels are then finished from their own bounded array; larger
-    ones go through ``large_median``, which never gathers a group.
+    ``polygon`` uses pixel centres inside the feature's rings (even-odd), ``bbox`` the rings'
+    boxes. Pixels and feature spans meet once per (row, column block), where the span is cut
+    out of the block's array, so the join yields one row per span. Features of every size then
+    go through ``large_median``, which never gathers a group. One row per key.
     """
     shaped = ft.withColumns(G.bounds("ring"))
     if window == "bbox":
         shaped = shaped.withColumn("ring", G.box_ring("xmin", "ymin", "xmax", "ymax"))
-    shaped = shaped.withColumn(
-        "_large", (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")) > max_group_px)
-    spans = row_spans(shaped, [key, "_large"]).withColumn(
+    spans = row_spans(shaped, [key]).withColumn(
         "_cb", F.explode(F.sequence(F.floor(F.col("c0") / block), F.floor(F.col("c1") / block))))
     cells = F.col("_cells")
     first, last = F.get(cells, F.lit(0))["col"], F.element_at(cells, -1)["col"]
@@ -277,24 +274,14 @@ def zonal(px: DataFrame, ft: DataFrame, values: list[str], key: str = "fid", blo
     part = F.when(lo > hi, F.slice(cells, 1, 0)).when(
         dense, F.slice(cells, lo - first + 1, F.greatest(hi - lo + 1, F.lit(0)))
     ).otherwise(F.filter(cells, lambda x: (x["col"] >= F.col("c0")) & (x["col"] <= F.col("c1"))))
-    hit = row_blocks(px, values, block).join(spans, ["row", "_cb"]).select(key, "_large", part.alias("_part"))
-
-    def median(v: str) -> Column:
-        known = F.sort_array(F.filter(F.transform("_all", lambda x: x[v]), lambda x: x.isNotNull()))
-        mid = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int"))
-                         + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2.0
-        return let(known, mid)
-
-    small = hit.where(~F.col("_large")).groupBy(key).agg(F.flatten(F.collect_list("_part")).alias("_all")).select(
-        key, *[median(v).alias(f"{v}_med") for v in values])
-    if not shaped.where(F.col("_large")).isEmpty():
-        big = hit.where(F.col("_large")).select(key, F.explode("_part").alias("_x"))
-        parts = None
-        for v in values:
-            m = large_median(big.select(key, F.col("_x")[v].alias(v)), key, v).withColumnRenamed(v, f"{v}_med")
-            parts = m if parts is None else parts.join(m, key, "full_outer")
-        small = small.unionByName(parts)
-    return ft.select(key).join(small, key, "left")
+    hit = row_blocks(px, values, block).join(spans, ["row", "_cb"]).select(key, F.explode(part).alias("_x"))
+
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("of"), F.col("_x")[v].cast("double").alias("val")) for v in values]))
+    named = hit.select(key, each.alias("_y")).select(F.struct(F.col(key).alias("k"), F.col("_y.of").alias("of")).alias("_g"), F.col("_y.val").alias("_v"))
+    med = large_median(named, "_g", "_v")
+    wide = med.groupBy(F.col("_g.k").alias(key)).agg(*[
+        F.max(F.when(F.col("_g.of") == v, F.col("_v"))).alias(f"{v}_med") for v in values])
+    return ft.select(key).distinct().join(wide, key, "left")
 
 
 def large_median(df: DataFrame, key: str, value: str, slices: int = 4096) -> DataFrame:

@@ -8,6 +8,7 @@ from canopygrid.functions import bands as B
 from canopygrid.functions import coords as C
 from canopygrid.functions import names as N
 from canopygrid.model import BLACK_SHARE_MAX, LABELED_SHARE_MIN, ChipConfig
+from canopygrid.functions.keys import order_key_sql
 from canopygrid.operators import augment, layers, points, raster, sampling, vector
 from canopygrid.plans import fixtures as X
 from canopygrid.plans.fixtures import with_
@@ -294,13 +295,17 @@ def pixel_xy(spark, d):
     return X.pixels(spark, d).select("row", "col", *out).select("row", "col", *r6("x", "y", "left_x", "top_y"))
 
 
-EXTENT = {"xmin": 10.0, "ymin": 10.0, "xmax": 190.0, "ymax": 150.0}
+def positioned(spark, d, layout):
+    """Pixels with their place in the boundary's box, one box per scene."""
+    px = X.pixels(spark, d).select("scene", "row", "col")
+    boxes = px.select("scene").distinct().withColumns({
+        "xmin": F.lit(10.0), "ymin": F.lit(10.0), "xmax": F.lit(190.0), "ymax": F.lit(150.0)})
+    return C.with_position(px, layout, F.col("col") + 0.5, F.col("row") + 0.5, boxes, ["scene"]).drop("scene")
 
 
 @query("coord_xy", with_("""SELECT row,col,round((col+0.5-10.0)/180.0::DOUBLE,6) AS coord_x, round((row+0.5-10.0)/140.0::DOUBLE,6) AS coord_y FROM px""", "px"))
 def coord_xy(spark, d):
-    ch = C.coord_channels(F.col("col") + 0.5, F.col("row") + 0.5, EXTENT, "xy")
-    return X.pixels(spark, d).select("row", "col", *ch).select("row", "col", *r6("coord_x", "coord_y"))
+    return positioned(spark, d, "xy").select("row", "col", *r6("coord_x", "coord_y"))
 
 
 def _sincos_sql():
@@ -315,8 +320,7 @@ def _sincos_sql():
 @query("coord_sincos", with_(f"""SELECT row,col,{_sincos_sql()} FROM
  (SELECT row,col,(col+0.5-10.0)/180.0::DOUBLE AS u,(row+0.5-10.0)/140.0::DOUBLE AS v FROM px)""", "px"))
 def coord_sincos(spark, d):
-    ch = C.coord_channels(F.col("col") + 0.5, F.col("row") + 0.5, EXTENT, "sincos")
-    px = X.pixels(spark, d).select("row", "col", *ch)
+    px = positioned(spark, d, "sincos")
     return px.select("row", "col", *r6(*px.columns[2:]))
 
 
@@ -415,15 +419,15 @@ def stack6(spark, d):
     return raster.stack(bands, index, height)
 
 
-@query("chips_by_split", with_("""SELECT chip, CASE WHEN ((chip*2654435761+42)%4294967296)%1000000<200000 THEN 'val' ELSE 'train' END AS split,
+@query("chips_by_split", with_(f"""SELECT chip, CASE WHEN {order_key_sql("chip")}%1000000<200000 THEN 'val' ELSE 'train' END AS split,
  8 AS patch_size, CAST(sum(red) AS BIGINT) AS red_sum FROM px GROUP BY chip""", "px"))
 def chips_by_split(spark, d):
     px = X.pixels(spark, d).groupBy("chip").agg(F.sum("red").alias("red_sum"))
     return sampling.assign_split(px, "chip").select("chip", "split", F.lit(8).alias("patch_size"), "red_sum")
 
 
-@query("split_inherit", with_("""SELECT chip, CAST(r//4*4 AS INTEGER) AS dr, CAST(c//4*4 AS INTEGER) AS dc,
- CASE WHEN ((chip*2654435761+42)%4294967296)%1000000<200000 THEN 'val' ELSE 'train' END AS split,
+@query("split_inherit", with_(f"""SELECT chip, CAST(r//4*4 AS INTEGER) AS dr, CAST(c//4*4 AS INTEGER) AS dc,
+ CASE WHEN {order_key_sql("chip")}%1000000<200000 THEN 'val' ELSE 'train' END AS split,
  'label_'||scene||'/'||CAST(chip AS VARCHAR)||'_p4_r'||CAST(r//4*4 AS VARCHAR)||'_c'||CAST(c//4*4 AS VARCHAR) AS source
  FROM px GROUP BY ALL""", "px"))
 def split_inherit(spark, d):
@@ -435,14 +439,14 @@ def split_inherit(spark, d):
                       N.crop_source(group, F.col("chip").cast("string"), 4, "dr", "dc", F.lit(False)).alias("source"))
 
 
-@query("split_tiles", """SELECT vec_id AS chip, CASE WHEN ((vec_id*2654435761+42)%4294967296)%1000000<200000 THEN 'val' ELSE 'train' END AS split FROM embeddings""")
+@query("split_tiles", f"""SELECT vec_id AS chip, CASE WHEN {order_key_sql("vec_id")}%1000000<200000 THEN 'val' ELSE 'train' END AS split FROM embeddings""")
 def split_tiles(spark, d):
     return sampling.assign_split(X.chips(spark, d).select("chip"), "chip")
 
 
 # ------------------------------------------------------------------ augmentation
 
-D4_SQL = """, k AS (SELECT *, ((chip*2654435761+42+7919*3)%4294967296) AS h FROM px),
+D4_SQL = f""", k AS (SELECT *, {order_key_sql("chip", epoch="3")} AS h FROM px),
  b AS (SELECT *, (h>>30)%2=1 AS fh, (h>>29)%2=1 AS fv, (h>>27)%4 AS turns FROM k),
  f AS (SELECT *, CASE WHEN fv THEN 7-r ELSE r END AS r1, CASE WHEN fh THEN 7-c ELSE c END AS c1 FROM b),
  g AS (SELECT *, CASE turns WHEN 0 THEN r1 WHEN 1 THEN 7-c1 WHEN 2 THEN 7-r1 ELSE c1 END AS r2,
@@ -457,9 +461,10 @@ def augment_d4(spark, d):
     return ex.select("chip", "pos", "_z.red", "_z.nir")
 
 
-@query("augment_crop", with_(""", u AS (SELECT vec_id AS chip, ((vec_id*2654435761+42+7919*3)%4294967296)/4294967296.0::DOUBLE AS u0,
-  ((vec_id*2654435761+42+7919*3+104729)%4294967296)/4294967296.0::DOUBLE AS u1, ((vec_id*2654435761+42+7919*3+104729*2)%4294967296)/4294967296.0::DOUBLE AS u2,
-  ((vec_id*2654435761+42+7919*3+104729*3)%4294967296)/4294967296.0::DOUBLE AS u3 FROM embeddings),
+DRAWS = ", ".join(f"{order_key_sql('vec_id', epoch='3', draw=k)}/4294967296.0::DOUBLE AS u{k}" for k in range(4))
+
+
+@query("augment_crop", with_(f""", u AS (SELECT vec_id AS chip, {DRAWS} FROM embeddings),
  s AS (SELECT *, CASE WHEN u0<0.5 THEN greatest(CAST(floor(sqrt(0.25+u1*0.75)*8+0.5) AS INTEGER),1) ELSE 8 END AS side FROM u),
  w AS (SELECT chip, side, CAST(floor(u2*(9-side)) AS INTEGER) AS top, CAST(floor(u3*(9-side)) AS INTEGER) AS lft, CAST(unnest(range(64)) AS INTEGER) AS pos FROM s)
  SELECT w.chip, w.pos, px.red FROM w JOIN px ON px.chip=w.chip AND px.r=w.top+CAST(floor((w.pos//8+0.5)*side/8) AS INTEGER)
@@ -469,8 +474,7 @@ def augment_crop(spark, d):
     return ch.select("chip", F.posexplode("red").alias("pos", "red"))
 
 
-@query("augment_radiometric", with_(""", u AS (SELECT vec_id AS chip, ((vec_id*2654435761+42+7919*3)%4294967296)/4294967296.0::DOUBLE AS u0,
-  ((vec_id*2654435761+42+7919*3+15485863)%4294967296)/4294967296.0::DOUBLE AS u1, ((vec_id*2654435761+42+7919*3+15485863*2)%4294967296)/4294967296.0::DOUBLE AS u2 FROM embeddings)
+@query("augment_radiometric", with_(f""", u AS (SELECT vec_id AS chip, {DRAWS} FROM embeddings)
  SELECT chip, pos, round(least(greatest(CASE WHEN u0<0.8 THEN red/255.0::DOUBLE*(1.0+(u1*2-1)*0.15)+(u2*2-1)*0.05 ELSE red/255.0::DOUBLE END,0.0),1.0),6) AS red,
  round(nir/255.0::DOUBLE,6) AS nir FROM px JOIN u USING (chip)""", "px"))
 def augment_radiometric(spark, d):
@@ -537,8 +541,8 @@ def gap_fill(spark, d):
     return points.gap_fill(cells, "file", "dtm").withColumn("dtm", F.round("dtm", 6))
 
 
-@query("cap_points", with_("""SELECT file, x, y, z, cls FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY h, x, y, z, cls) AS rn FROM
- (SELECT *, (CAST(x*8+400*y*8+160000*z AS BIGINT)*2654435761+42)%4294967296 AS h FROM pt)) WHERE rn<=500""", "pt"))
+@query("cap_points", with_(f"""SELECT file, x, y, z, cls FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY h, x, y, z, cls) AS rn FROM
+ (SELECT *, {order_key_sql("CAST(x*8+400*y*8+160000*z AS BIGINT)")} AS h FROM pt)) WHERE rn<=500""", "pt"))
 def cap_points(spark, d):
     key = (F.col("x") * 8 + F.col("y") * 8 * 400 + F.col("z") * 160000).cast("bigint")
     return points.cap_per_group(X.points(spark, d), "file", key, 500, tie=("x", "y", "z", "cls")).select("file", "x", "y", "z", "cls")

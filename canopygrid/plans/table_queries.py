@@ -290,7 +290,7 @@ EVENT_SCHEMA = T.StructType([
 
 
 def _event_stream(spark, d):
-    return jobs.open_stream(spark, d, EVENT_SCHEMA, "events.parquet")
+    return jobs.open_stream(spark, f"{d}/events.parquet", EVENT_SCHEMA)
 
 
 @query("stream_status", with_("SELECT status, count(*) AS n FROM st GROUP BY 1", "st"))
@@ -323,7 +323,7 @@ EMBEDDING_SCHEMA = T.StructType([
 @query("stream_ingest", """SELECT 'm_'||CAST(vec_id//100 AS VARCHAR) AS scene, count(*) AS n_chips FROM embeddings GROUP BY 1""")
 def stream_ingest(spark, d):
     scene = F.concat(F.lit("m_"), F.floor(F.col("vec_id") / 100).cast("string"))
-    src = jobs.open_stream(spark, d, EMBEDDING_SCHEMA, "embeddings.parquet").select(scene.alias("scene"), "vec_id", "embedding")
+    src = jobs.open_stream(spark, f"{d}/embeddings.parquet", EMBEDDING_SCHEMA).select(scene.alias("scene"), "vec_id", "embedding")
     home = jobs.scratch(spark, "ingest")
     jobs.ingest_scenes(src, lambda b: b.select("scene", "vec_id", F.array_max("embedding").alias("peak")), f"{home}/out", f"{home}/state")
     return spark.read.parquet(f"{home}/out").groupBy("scene").agg(F.count(F.lit(1)).alias("n_chips"))

@@ -10,6 +10,7 @@ from canopygrid.functions import names as N
 from canopygrid.model import (
     DETECTION_SCORE_MIN, MIN_PX_TREE, MIN_PX_VEG, NDVI_VEG_MIN, ROAD_RADIUS_M, TREE_MIN_M,
 )
+from canopygrid.functions.keys import order_key_sql
 from canopygrid.operators import layers, morphology, sampling, vector
 from canopygrid.operators.ranking import row_number_in
 from canopygrid.plans import fixtures as X
@@ -17,7 +18,6 @@ from canopygrid.plans.fixtures import with_
 from canopygrid.plans.pixel_queries import COVER_MASK, label_mask, ndvi_pixels
 from canopygrid.plans.registry import query
 
-H42 = "(({k}*2654435761+42)%4294967296)"
 
 # ------------------------------------------------------------------ geometry
 
@@ -141,8 +141,10 @@ ZONAL = """, z AS (SELECT fid, median(chm) AS chm_med, median(ndvi) AS ndvi_med
 """
 
 
-def _zones(spark, d):
+def _zones(spark, d, least_score=None):
     det = X.detections(spark, d)
+    if least_score is not None:  # before any pixel is met
+        det = det.where(F.col("score") > least_score)
     rings = det.select("fid", G.box_ring("xmin", "ymin", "xmax", "ymax").alias("ring"))
     return det, vector.zonal(ndvi_pixels(spark, d), rings, ["chm", "ndvi"])
 
@@ -156,7 +158,7 @@ def zonal_median(spark, d):
 @query("detection_filter", with_(ZONAL + """SELECT fid, round(score,6) AS score, round(chm_med,6) AS chm_med FROM det JOIN z USING (fid)
  WHERE score>0.2 AND chm_med>=1.5 AND ndvi_med>=0.2""", "ndvi", "det"))
 def detection_filter(spark, d):
-    det, z = _zones(spark, d)
+    det, z = _zones(spark, d, DETECTION_SCORE_MIN)
     kept = layers.detections_kept(det, z, DETECTION_SCORE_MIN, TREE_MIN_M, NDVI_VEG_MIN)
     return kept.select("fid", F.round("score", 6).alias("score"), F.round("chm_med", 6).alias("chm_med"))
 
@@ -268,7 +270,7 @@ def skip_reasons(spark, d):
 
 # ------------------------------------------------------------------ sampling and patches
 
-ACCEPTED = f""", acc AS (SELECT chip, row_number() OVER (ORDER BY {H42.format(k='chip')}) AS patch_id FROM
+ACCEPTED = f""", acc AS (SELECT chip, row_number() OVER (ORDER BY {order_key_sql('chip')}) AS patch_id FROM
   (SELECT chip FROM px GROUP BY chip HAVING avg(CASE WHEN red=0 AND green=0 AND blue=0 AND nir=0 THEN 1.0 ELSE 0.0 END)<=0.2))
 """
 
@@ -306,13 +308,13 @@ def chip_index(spark, d):
     return ranked.select("chip", (F.col("n") - 1).alias("idx"))
 
 
-@query("seeded_shuffle", f"SELECT p_partkey AS fid, {H42.format(k='p_partkey')} AS order_key, row_number() OVER (ORDER BY {H42.format(k='p_partkey')}) AS pos FROM part")
+@query("seeded_shuffle", f"SELECT p_partkey AS fid, {order_key_sql('p_partkey')} AS order_key, row_number() OVER (ORDER BY {order_key_sql('p_partkey')}) AS pos FROM part")
 def seeded_shuffle(spark, d):
     p = X.table(spark, d, "part").select(F.col("p_partkey").alias("fid"))
     return sampling.sequential_ids(p, "fid", "pos", tie=["fid"])
 
 
-@query("sample_n", f"SELECT o_orderkey AS fid, {H42.format(k='o_orderkey')} AS order_key FROM orders ORDER BY 2, 1 LIMIT 3000")
+@query("sample_n", f"SELECT o_orderkey AS fid, {order_key_sql('o_orderkey')} AS order_key FROM orders ORDER BY 2, 1 LIMIT 3000")
 def sample_n(spark, d):
     o = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("fid"))
     return sampling.sample_first(o, "fid", 3000, tie=["fid"])
@@ -323,7 +325,7 @@ def limit_scenes(spark, d):
     return X.table(spark, d, "pages").select(F.col("url").alias("scene")).orderBy("scene").limit(5)
 
 
-@query("grid_epoch_order", """SELECT vec_id AS chip, e AS epoch, (vec_id*2654435761+42+7919*e)%4294967296 AS order_key FROM embeddings, (VALUES (1),(2)) t(e)""")
+@query("grid_epoch_order", f"""SELECT vec_id AS chip, e AS epoch, {order_key_sql('vec_id', epoch='e')} AS order_key FROM embeddings, (VALUES (1),(2)) t(e)""")
 def grid_epoch_order(spark, d):
     g = X.chips(spark, d).select("chip")
     first, second = (sampling.epoch_order(g, "chip", e).select("chip", F.lit(e).alias("epoch"), "order_key") for e in (1, 2))

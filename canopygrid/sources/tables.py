@@ -84,7 +84,8 @@ def publish_spread(df: DataFrame, path: str, by: list[str], files: int, spread_o
 def guard_complete(expected: DataFrame, published: DataFrame, key: str) -> None:
     """Stop the next stage while any scene is unfinished."""
     left = expected.select(key).join(published.select(key).distinct(), key, "left_anti")
-    few = [r[0] for r in left.limit(5).collect()]
-    if few:
-        raise RuntimeError(f"unfinished: {', '.join(map(str, few))}")
+    n = left.count()
+    if n:
+        few = [str(r[0]) for r in left.orderBy(key).limit(5).collect()]
+        raise RuntimeError(f"{n} unfinished: {', '.join(few)}{', ...' if n > len(few) else ''}")
 

@@ -11,14 +11,15 @@ from pyspark.sql.types import StructType
 
 from canopygrid.session import shared_dir
 from canopygrid.sources.discovery import pending
-from canopygrid.sources.tables import publish
+from canopygrid.sources.tables import publish_spread
 
 
-def open_stream(spark: SparkSession, folder: str, schema: StructType, name_filter: str = "*.parquet",
-                files_per_batch: int = 1000) -> DataFrame:
-    """File-source stream; each file is read exactly once across restarts."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-            .option("pathGlobFilter", name_filter).parquet(folder))
+def open_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
+    """File-source stream over a table, be it one file or a folder of them; each file is read exactly once across restarts.
+
+    A plain path must be a folder, so the table is named by a pattern that only it matches.
+    """
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_once(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,
@@ -30,17 +31,21 @@ def run_once(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkp
 
 
 def ingest_scenes(stream: DataFrame, compute: Callable[[DataFrame], DataFrame], out: str,
-                  checkpoint: str, key: str = "scene", done: DataFrame | None = None) -> None:
+                  checkpoint: str, key: str = "scene", done: DataFrame | None = None,
+                  files: int = 16, spread_on: list[str] | None = None) -> None:
     """Compute and publish arriving scenes, each input file exactly once.
 
     A batch replaces the partitions (scene, part = batch number) it owns, so a replay after
     a failure repeats its own output, and a scene whose files arrive in several batches
-    keeps all of them. ``done`` names scenes to leave out: those whose record says they
+    keeps all of them. Each partition is written by up to ``files`` tasks, dealt by the
+    ``spread_on`` columns (all but the key if not given). ``done`` names scenes to leave out: those whose record says they
     were complete before this run.
     """
     def handle(batch: DataFrame, n: int) -> None:
         todo = batch if done is None else pending(batch, done.select(key).distinct(), key)
-        publish(compute(todo).withColumn("part", F.lit(n)), out, [key, "part"])
+        ready = compute(todo)
+        spread = spread_on or [c for c in ready.columns if c != key]
+        publish_spread(ready.withColumn("part", F.lit(n)), out, [key, "part"], files, spread)
 
     run_once(stream, handle, checkpoint)
 

@@ -133,3 +133,15 @@ def test_ingest_keeps_every_file_once(spark, tmp_path):
     add(spark.createDataFrame([("s1", 7), ("s3", 5)], "scene string, v int"))
     run(done=spark.createDataFrame([("s1",)], "scene string"))
     assert rows() == [("s1", 1, 10), ("s1", 2, 20), ("s2", 3, 30), ("s2", 4, 40), ("s3", 5, 50)]
+
+
+def test_stream_queries_over_a_folder_table(spark, sf, tmp_path):
+    import compare
+
+    from canopygrid.plans.catalog import ORACLES, QUERIES
+
+    for name in ("events", "embeddings"):
+        X.table(spark, sf, name).repartition(5).write.parquet(str(tmp_path / f"{name}.parquet"))
+    con = compare.connect(sf)
+    for q in ("stream_status", "stream_best", "stream_ingest"):
+        assert compare.compare(spark, con, q, QUERIES[q], ORACLES[q], str(tmp_path)) is None

@@ -11,6 +11,7 @@ from canopygrid.functions import coords as C
 from canopygrid.functions import geometry as G
 from canopygrid.functions import names as N
 from canopygrid.model import ChipConfig
+from canopygrid.functions.keys import is_validation, order_key, unit_draw
 from canopygrid.operators import augment, layers, metrics, morphology, points, ranking, raster, sampling, vector
 
 NAN, INF = float("nan"), float("inf")
@@ -65,10 +66,15 @@ def test_share_limits_are_strict(spark):
     assert dict(one(sampling.labeled_share(m, ["k"]), "k", "kept")) == {1: True, 2: False}
 
 
-def test_coord_channel_counts():
-    assert [C.coord_channel_count(m) for m in ("none", "xy", "sincos")] == [0, 2, 16]
+def test_coord_layouts(spark):
+    assert [len(C.LAYOUTS[m]) for m in ("none", "xy", "sincos")] == [0, 2, 16]
+    px = spark.createDataFrame([("a", 1.0, 2.0), ("b", 1.0, 2.0)], "scene string, x double, y double")
+    boxes = spark.createDataFrame([("a", 0.0, 0.0, 2.0, 4.0), ("b", 1.0, 0.0, 1.0, 8.0)],
+                                  "scene string, xmin double, ymin double, xmax double, ymax double")
+    out = {r.scene: (r.coord_x, r.coord_y) for r in C.with_position(px, "xy", "x", "y", boxes, ["scene"]).collect()}
+    assert out == {"a": (0.5, 0.5), "b": (None, 0.25)}
     with pytest.raises(ValueError):
-        C.coord_channel_count("polar")
+        C.with_position(px, "polar", "x", "y", boxes, ["scene"])
 
 
 def test_projection_round_trip(spark):
@@ -247,6 +253,14 @@ def test_burn_matches_point_in_polygon(spark):
     assert got == want
 
 
+def test_zonal_median_of_rings_in_rings(spark):
+    px = spark.createDataFrame([(r, c, 17.0 if 4 <= r < 6 and 4 <= c < 6 else float(r)) for r in range(10) for c in range(10)], "row int, col int, v double")
+    rings = spark.createDataFrame([(1, 0.0, 10.0), (1, 4.0, 6.0)], "fid long, a double, b double").select("fid", G.box_ring("a", "a", "b", "b").alias("ring"))
+    out = vector.zonal(px, rings, ["v"]).collect()
+    want = sorted(float(r) for r in range(10) for c in range(10) if not (4 <= r < 6 and 4 <= c < 6))
+    assert [(r.fid, r.v_med) for r in out] == [(1, (want[47] + want[48]) / 2)]
+
+
 def test_inside_is_strict_on_edges(spark):
     pts = [(1, 5.0, 5.0), (2, 1.0, 5.0), (3, 1.5, 2.5), (4, 9.0, 9.0), (5, 2.0, 9.0), (6, 20.0, 2.0), (7, 8.0, 2.0)]
     p = spark.createDataFrame(pts, "id int, x double, y double")
@@ -255,15 +269,15 @@ def test_inside_is_strict_on_edges(spark):
     assert sorted(r.id for r in vector.inside(p, ft, ["id"], band=4.0, strict=False).collect()) == [2, 3, 4, 5, 7]
 
 
-def test_large_median_path_equals_small_path(spark):
+def test_zonal_medians_of_any_size(spark):
     rnd = random.Random(4)
     px = spark.createDataFrame([(r, c, rnd.choice([None, rnd.random(), 0.5])) for r in range(30) for c in range(30)], "row int, col int, v double")
     ft = spark.createDataFrame([(1, 0.0, 0.0, 30.0, 30.0), (2, 3.0, 3.0, 5.0, 6.0), (3, 40.0, 40.0, 50.0, 50.0)],
                                "fid long, a double, b double, c double, d double").select("fid", G.box_ring("a", "b", "c", "d").alias("ring"))
-    small = sorted(map(tuple, vector.zonal(px, ft, ["v"]).collect()))
-    mixed = sorted(map(tuple, vector.zonal(px, ft, ["v"], max_group_px=10).collect()))
-    assert small[2] == (3, None) and [s[0] for s in small] == [m[0] for m in mixed]
-    assert all(a[1] == pytest.approx(b[1]) for a, b in zip(small[:2], mixed[:2]))
+    got = sorted(map(tuple, vector.zonal(px, ft, ["v"]).collect()))
+    cells = {(r, c): v for r, c, v in map(tuple, px.collect())}
+    inner = sorted(v for (r, c), v in cells.items() if 3 <= r < 6 and 3 <= c < 5 and v is not None)
+    assert got[2] == (3, None) and got[1][1] == pytest.approx((inner[(len(inner) - 1) // 2] + inner[len(inner) // 2]) / 2)
     sparse = sorted(map(tuple, vector.zonal(px.where("(row + col) % 3 <> 0"), ft, ["v"]).collect()))
     brute = sorted(v for r, c, v in map(tuple, px.where("(row + col) % 3 <> 0").collect()) if v is not None)
     n = len(brute)
@@ -325,12 +339,12 @@ def flood(cells, conn, value=lambda p: 0):
     return set(out)
 
 
-@pytest.mark.parametrize("conn,small_edges", [(4, 200_000), (8, 0), (4, 0)])
-def test_components_match_flood_fill(spark, conn, small_edges):
+@pytest.mark.parametrize("conn", [4, 8])
+def test_components_match_flood_fill(spark, conn):
     rnd = random.Random(conn)
     cells = {(r, c) for r in range(40) for c in range(40) if rnd.random() < 0.62}
     got = {}
-    for r in morphology.components(mask_df(spark, cells, False), conn, block=7, small_edges=small_edges).collect():
+    for r in morphology.components(mask_df(spark, cells, False), conn, block=7).collect():
         got.setdefault(r.comp, set()).add((r.row, r.col))
     assert {frozenset(s) for s in got.values()} == flood(cells, conn)
     assert all(k == min(r * (1 << 31) + c for r, c in s) for k, s in got.items())
@@ -339,7 +353,7 @@ def test_components_match_flood_fill(spark, conn, small_edges):
 def test_snake_component_needs_many_rounds(spark):
     cells = {(r, c) for r in range(0, 30, 2) for c in range(30)}
     cells |= {(r, 29 if (r // 2) % 2 == 0 else 0) for r in range(1, 29, 2)}
-    out = morphology.components(mask_df(spark, cells, False), 4, block=4, small_edges=0)
+    out = morphology.components(mask_df(spark, cells, False), 4, block=4)
     assert out.select("comp").distinct().count() == 1 and out.count() == len(cells)
 
 
@@ -377,8 +391,9 @@ def test_class_weight_cap(spark):
 
 
 def test_projected_sinusoids(spark):
-    df = spark.createDataFrame([(0.25, 0.5)], "x double, y double")
-    ch = df.select(*C.coord_channels("x", "y", {"xmin": 0.0, "ymin": 0.0, "xmax": 1.0, "ymax": 1.0}, "sincos")).first()
+    df = spark.createDataFrame([("a", 0.25, 0.5)], "scene string, x double, y double")
+    box = spark.createDataFrame([("a", 0.0, 0.0, 1.0, 1.0)], "scene string, xmin double, ymin double, xmax double, ymax double")
+    ch = C.with_position(df, "sincos", "x", "y", box, ["scene"]).first()
     assert ch["sin_x1"] == pytest.approx(1.0) and ch["cos_y0"] == pytest.approx(math.cos(math.pi / 2))
 
 
@@ -389,3 +404,52 @@ def test_clip_with_overlapping_parts_and_blocks(spark):
     out = vector.clip_to(px, ft, "lc", block=7).collect()
     want = {(r, c): 5 if (2 <= r < 12 and 2 <= c < 12) or (8 <= r < 18 and 8 <= c < 18) else 0 for r in range(2, 18) for c in range(2, 18)}
     assert {(r.row, r.col): r.lc for r in out} == want and len(out) == len(want)
+
+
+def test_contract_of_a_hub(spark):
+    edges = spark.range(1, 3000).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b")).union(
+        spark.createDataFrame([(5000, 5001), (5001, 5002)], "a long, b long"))
+    roots = {r.node: r.root for r in morphology.contract(edges).collect()}
+    assert all(roots[i] == 0 for i in range(1, 3000)) and roots[5001] == roots[5002] == 5000
+
+
+# draws: properties that do not repeat the formula
+
+def test_draws_of_seeds_and_epochs_are_unrelated(spark):
+    chips = spark.range(2000).select(F.col("id").alias("chip"))
+    order = lambda **k: [r.chip for r in chips.orderBy(order_key("chip", **k)).collect()]
+    first, second, other = order(epoch=1), order(epoch=2), order(seed=43, epoch=1)
+    for a, b in ((first, second), (first, other)):
+        assert sorted(a) == sorted(b) and sum(x == y for x, y in zip(a, b)) < 12
+        step = [(y - x) % 2000 for x, y in zip(map(a.index, range(0, 2000, 20)), map(b.index, range(0, 2000, 20)))]
+        assert len(set(step)) > 80  # not a rotation of one order
+    val = lambda seed: {r.chip for r in chips.where(is_validation("chip", 0.2, seed)).collect()}
+    a, b = val(42), val(43)
+    assert 300 < len(a) < 500 and 300 < len(b) < 500 and len(a & b) < 140
+
+
+def test_draws_of_one_chip_are_unrelated_and_keys_unbounded(spark):
+    u = spark.range(4000).select(*[unit_draw("id", 42, 3, k).alias(f"u{k}") for k in range(4)]).toPandas()
+    assert (u.corr().abs().to_numpy() - [[float(i == j) for j in range(4)] for i in range(4)]).max() < 0.06
+    assert abs(u.to_numpy().mean() - 0.5) < 0.01 and u.min().min() >= 0 and u.max().max() < 1
+    big = spark.createDataFrame([(4_000_000_000,), (9_000_000_000_000_000_000,)], "id long")
+    assert all(0 <= r[0] < 2**32 for r in big.select(order_key("id")).collect())
+
+
+def test_augmentation_reaches_everything(spark):
+    grid = [float(i) for i in range(64)]
+    chips = spark.range(400).select(F.col("id").alias("chip"), F.array(*[F.lit(x) for x in grid]).alias("b"))
+    turned = lambda e: {r.chip: tuple(r.b) for r in augment.augment_d4(chips, "chip", 8, ["b"], e).collect()}
+    a, b = turned(0), turned(1)
+    assert len(set(a.values())) == 8 and sum(a[k] != b[k] for k in a) > 300
+    corners = set()
+    for e in range(3):
+        for r in augment.augment_crop(chips, "chip", 8, ["b"], e, p=1.0).collect():
+            corners.add((int(r.b[0]) // 8, int(r.b[0]) % 8))
+    assert len(corners) >= 20 and any(r != c for r, c in corners)
+
+
+def test_cross_entropy_of_an_impossible_truth(spark):
+    w = spark.createDataFrame([(0, 1.0), (1, 1.0)], "cls int, weight double")
+    rows = spark.createDataFrame([(0, [0.0, 1.0]), (1, [0.0, 1.0])], "truth int, probs array<double>")
+    assert metrics.weighted_ce(rows, w, k=2).first()[0] == float("inf")
