@@ -114,9 +114,9 @@ def cap_per_group(df: DataFrame, key: str, draw_on, k: int, seed: int = 42,
                   tie: tuple = ()) -> DataFrame:
     """Sample of at most ``k`` rows per key without replacement, by hash order.
 
-    Ranks are two-level over 256 slices of the hash range, so a key that holds a
-    third of all rows is still ranked by 256 tasks.
+    Ranks are two-level over 4096 slices of the hash range, and slices that begin beyond
+    the ``k``-th row are dropped before any is sorted.
     """
     drawn = df.withColumn("_draw", order_key(draw_on, seed))
-    ranked = row_number_in(drawn, [key], F.shiftright("_draw", 24), ["_draw", *tie], "_rank")
-    return ranked.where(F.col("_rank") <= k).drop("_draw", "_rank")
+    ranked = row_number_in(drawn, [key], F.shiftright("_draw", 20), ["_draw", *tie], "_rank", upto=k)
+    return ranked.drop("_draw", "_rank")

@@ -46,7 +46,7 @@ def sample_first(df: DataFrame, key, n: int, seed: int = 42, tie: list[str] = ()
 
 def sequential_ids(df: DataFrame, key, name: str = "patch_id", seed: int = 42,
                    tie: list[str] = ()) -> DataFrame:
-    """1..n in seeded order; ranked in 4096 slices of the hash range, not in one task."""
+    """1..n in seeded order, ranked by ranges of the order and not in one task."""
     drawn = df.withColumn("order_key", order_key(key, seed))
     return row_number_in(drawn, [], F.shiftright("order_key", 20), ["order_key", *tie], name)
 
