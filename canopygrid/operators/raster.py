@@ -106,12 +106,14 @@ def snap(px: DataFrame, x: str, y: str, grid: Grid) -> DataFrame:
     }).where(F.col("col").between(0, grid.width - 1) & F.col("row").between(0, grid.height - 1))
 
 
-def to_chips(px: DataFrame, size: int, bands: list[str], edge: str = "pad", keys=("scene",)) -> DataFrame:
+def to_chips(px: DataFrame, size: int, bands: list[str], edge: str = "pad", keys=("scene",),
+             scenes: DataFrame | None = None) -> DataFrame:
     """Cut a dense raster into size x size chips (one row, one array per band).
 
     ``drop`` omits partial edge chips; ``pad`` fills them with zeros and records the
-    valid part. A group is one chip, so it is bounded by size*size pixels, and the
-    valid extent follows from the chip's own pixels without joining a scene table.
+    valid part. A group is one chip, so it is bounded by size*size pixels. A chip's extent
+    comes from ``scenes`` (keys, width, height), or else from the largest row and column of
+    its whole scene, never from its own pixels: a hole anywhere in a chip is an error.
     """
     if edge not in ("pad", "drop"):
         raise ValueError(f"unknown edge policy: {edge}")
@@ -120,12 +122,12 @@ def to_chips(px: DataFrame, size: int, bands: list[str], edge: str = "pad", keys
         "c0": (F.floor(F.col("col") / size) * size).cast("int"),
     })
     cell = F.struct(F.col("row"), F.col("col"), *[F.col(b) for b in bands])
-    chips = block.groupBy(*keys, "r0", "c0").agg(
-        F.array_sort(F.collect_list(cell)).alias("_px"),
-        (F.max("row") + 1).cast("int").alias("_rmax"), (F.max("col") + 1).cast("int").alias("_cmax"),
-    )
-    chips = chips.withColumns({"valid_h": F.col("_rmax") - F.col("r0"),
-                               "valid_w": F.col("_cmax") - F.col("c0")})
+    if scenes is None:
+        scenes = px.groupBy(*keys).agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+    extent = scenes.select(*keys, F.col("height").cast("int").alias("_h"), F.col("width").cast("int").alias("_w"))
+    chips = block.groupBy(*keys, "r0", "c0").agg(F.array_sort(F.collect_list(cell)).alias("_px")).join(extent, [*keys])
+    chips = chips.withColumns({"valid_h": F.least(F.lit(size), F.col("_h") - F.col("r0")),
+                               "valid_w": F.least(F.lit(size), F.col("_w") - F.col("c0"))})
     whole = (F.col("valid_h") == size) & (F.col("valid_w") == size)
     if edge == "drop":
         chips = chips.where(whole)

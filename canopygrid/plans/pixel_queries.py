@@ -92,14 +92,16 @@ def state_splits(spark, d):
 
 
 @query("robust_chips", with_("""SELECT chip, chip%10<>3 AS readable,
-  CAST(sum(CASE WHEN chip%10<>3 THEN red ELSE 0 END) AS BIGINT) AS image_sum,
-  CAST(sum(CASE WHEN chip%10<>3 THEN nir%7 ELSE 0 END) AS BIGINT) AS mask_sum, 64 AS n_px FROM px GROUP BY chip""", "px"))
+  CAST(sum(CASE WHEN chip%10<>3 THEN red*(pos+1) ELSE 0 END) AS BIGINT) AS image_sum,
+  CAST(sum(CASE WHEN chip%10<>3 THEN nir%7*(pos+1) ELSE 0 END) AS BIGINT) AS mask_sum, 64 AS n_px FROM px GROUP BY chip""", "px"))
 def robust_chips(spark, d):
     px = X.pixels(spark, d)
     index = X.chips(spark, d).select("chip")
     good = px.where(F.col("chip") % 10 != 3).groupBy("chip").agg(
-        F.collect_list("red").alias("image"), F.collect_list(F.col("nir") % 7).alias("mask"))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, v: s + v)
+        F.array_sort(F.collect_list(F.struct("pos", "red", (F.col("nir") % 7).alias("m")))).alias("cells")).select(
+        "chip", F.col("cells.red").alias("image"), F.col("cells.m").alias("mask"))
+    # weighted by position, so that the order of the pixels counts
+    total = lambda a: F.aggregate(F.transform(a, lambda v, i: v.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda s, v: s + v)
     return discovery.robust_chips(index, good, "chip", X.CHIP, "image", "mask").select(
         "chip", "readable", total("image").alias("image_sum"), total("mask").alias("mask_sum"),
         F.size("image").alias("n_px"))

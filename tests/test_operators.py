@@ -453,3 +453,18 @@ def test_cross_entropy_of_an_impossible_truth(spark):
     w = spark.createDataFrame([(0, 1.0), (1, 1.0)], "cls int, weight double")
     rows = spark.createDataFrame([(0, [0.0, 1.0]), (1, [0.0, 1.0])], "truth int, probs array<double>")
     assert metrics.weighted_ce(rows, w, k=2).first()[0] == float("inf")
+
+
+@pytest.mark.parametrize("edge", ["pad", "drop"])
+def test_chips_refuse_a_hole_on_any_edge(spark, edge):
+    cells = [("a", r, c, r * 8 + c) for r in range(8) for c in range(8) if (r, c) != (7, 7)]
+    px = spark.createDataFrame(cells, "scene string, row int, col int, v int")
+    size = spark.createDataFrame([("a", 8, 8)], "scene string, width int, height int")
+    with pytest.raises(Exception, match="missing pixels"):
+        raster.to_chips(px, 4, ["v"], edge, scenes=size).collect()
+    column = px.where("row <> 3 or col > 3")  # a whole lower edge of one inner chip
+    with pytest.raises(Exception, match="missing pixels"):
+        raster.to_chips(column, 4, ["v"], edge, scenes=size).collect()
+    full = px.union(spark.createDataFrame([("a", 7, 7, 63)], px.schema))
+    assert raster.to_chips(full, 4, ["v"], edge).count() == 4
+    assert raster.to_chips(full, 5, ["v"], edge).count() == (4 if edge == "pad" else 1)
