@@ -25,7 +25,7 @@ from canopygrid.llm.common import need, slices, texts_of
 NONE = np.int64(1) << 62
 POS = (1 << 31) - 1
 SIDE_BY_SIDE = 256  # leaves: longer pieces get their own tree
-CACHE_PIECES = 200_000
+CACHE_PIECES = 120_000
 
 
 class Vocabulary:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def need(df: DataFrame, *names: str) -> None:

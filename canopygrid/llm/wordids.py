@@ -13,7 +13,7 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 120_000
 # letters whose lower-case and composed forms are single letters, then one run of punctuation
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,!?;:*#$%&|\"()]*)")
 
