@@ -7,6 +7,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -75,7 +76,8 @@ def session(cores: int = 8, name: str = "checks"):
 
     b = tune(SparkSession.builder.master(f"local[{cores}]").appName(name))
     spark = (b.config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
-             .config("spark.ui.enabled", "false").getOrCreate())
+             .config("spark.ui.enabled", "false")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="checks-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
