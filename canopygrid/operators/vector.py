@@ -72,6 +72,21 @@ def row_spans(ft: DataFrame, keys: list[str], width: int | None = None,
         F.col("c0") <= F.col("c1"))
 
 
+def to_pixel_plane(ft: DataFrame, scenes: DataFrame, on: list[str], ring: str = "ring", transform: str = "transform") -> DataFrame:
+    """Rings moved from map to pixel coordinates by the inverse affine of their scene.
+
+    ``scenes`` has one row per ``on`` key with ``transform`` = (a, b, c, d, e, f). The columns of
+    ``ft`` stay; features of a scene without a record are left out.
+    """
+    t = lambda i: F.get("_t", F.lit(i))
+    det = t(0) * t(4) - t(1) * t(3)
+    place = lambda p: F.struct(
+        ((t(4) * (p["x"] - t(2)) - t(1) * (p["y"] - t(5))) / det).alias("x"),
+        ((t(0) * (p["y"] - t(5)) - t(3) * (p["x"] - t(2))) / det).alias("y"))
+    moved = ft.join(scenes.select(*on, F.col(transform).alias("_t")), on).withColumn(ring, F.transform(ring, place))
+    return moved.select(*ft.columns)
+
+
 def _capped(v: Column, size: int | None) -> Column:
     return v if size is None else F.least(v, F.lit(size - 1))
 
@@ -81,32 +96,34 @@ def span_pixels(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def burn(ft: DataFrame, width: int | None = None, height: int | None = None,
-         code: str = "code", seq: str = "seq") -> DataFrame:
+         code: str = "code", seq: str = "seq", keys: tuple[str, ...] = ()) -> DataFrame:
     """Covered pixels with the code drawn last and whether any tree covers them.
 
+    ``keys`` (such as the scene) keep planes with the same local rows apart.
+
     ``max_by`` and ``bool_or`` keep fixed-width buffers, so overlaps are combined by
     hash before the shuffle and a pile of polygons on one spot cannot form a hot group.
     """
-    px = span_pixels(row_spans(ft, [code, seq], width, height), [code, seq])
-    return px.groupBy("row", "col").agg(
+    px = span_pixels(row_spans(ft, [*keys, code, seq], width, height), [*keys, code, seq])
+    return px.groupBy(*keys, "row", "col").agg(
         F.max_by(code, seq).alias("top"), F.bool_or(F.col(code) == TREE).alias("has_tree"))
 
 
 def rasterize(ft: DataFrame, grid: DataFrame, width: int | None = None, height: int | None = None,
               tree_over_building: bool = True, fill: int = IGNORE,
-              code: str = "code", seq: str = "seq") -> DataFrame:
-    """Label mask on ``grid`` (row, col, ...): internal id = code-1, ``fill`` outside.
+              code: str = "code", seq: str = "seq", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Label mask on ``grid`` (keys, row, col, ...): internal id = code-1, ``fill`` outside.
 
     With the override on, a pixel that would end as building but lies under any tree
     polygon becomes tree; ``flipped`` marks those pixels.
     """
-    burned = burn(ft, width, height, code, seq)
+    burned = burn(ft, width, height, code, seq, keys)
     flip = F.coalesce((F.col("top") == BUILDING) & F.col("has_tree"), F.lit(False))
     if not tree_over_building:
         flip = F.lit(False)
     final = F.when(flip, TREE - 1).otherwise(F.col("top") - 1)
     return (
-        grid.join(burned, ["row", "col"], "left")
+        grid.join(burned, [*keys, "row", "col"], "left")
         .withColumns({"mask": F.coalesce(final, F.lit(fill)).cast("int"), "flipped": flip})
         .drop("top", "has_tree")
     )

@@ -136,6 +136,25 @@ def city_clip(spark, d):
     return vector.clip_to(px, X.boundary(spark), "lc", width=X.MOSAIC_COLS)
 
 
+@query("rasterize_scenes", with_(""", m AS (SELECT fid%2 AS s, row, col, arg_max(code, seq) AS top, bool_or(code=1) AS tree
+   FROM cover WHERE code BETWEEN 1 AND 7 GROUP BY ALL)
+ SELECT 's'||CAST(px.chip%2 AS VARCHAR) AS scene, px.row, px.col,
+  CAST(coalesce(CASE WHEN top=5 AND tree THEN 0 ELSE top-1 END, 255) AS INTEGER) AS mask, coalesce(top=5 AND tree, FALSE) AS flipped
+ FROM px LEFT JOIN m ON m.s=px.chip%2 AND m.row=px.row AND m.col=px.col""", "px", "cover"))
+def rasterize_scenes(spark, d):
+    """Two scenes with the same local rows: one of 2-unit pixels facing down, one of half-unit pixels facing up."""
+    affine = {"s0": (2.0, 0.0, 100.0, 0.0, -2.0, 500.0), "s1": (0.5, 0.0, -30.0, 0.0, 0.5, 40.0)}
+    of = lambda c: F.concat(F.lit("s"), (F.col(c) % 2).cast("string"))
+    t = F.create_map(*[x for k, v in affine.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    scenes = X.pixels(spark, d).select(of("chip").alias("scene")).distinct().withColumn("transform", F.element_at(t, F.col("scene")))
+    at = lambda i: F.get(F.element_at(t, F.col("scene")), F.lit(i))
+    on_map = F.transform("ring", lambda p: F.struct((p["x"] * at(0) + at(2)).alias("x"), (p["y"] * at(4) + at(5)).alias("y")))
+    ft = X.features(spark, d).where(F.col("code").between(1, 7)).withColumn("scene", of("fid")).withColumn("ring", on_map)
+    plane = vector.to_pixel_plane(ft.select("scene", "code", "seq", "ring"), scenes, ["scene"])
+    grid = X.pixels(spark, d).select(of("chip").alias("scene"), "row", "col")
+    return vector.rasterize(plane, grid, keys=("scene",))
+
+
 ZONAL = """, z AS (SELECT fid, median(chm) AS chm_med, median(ndvi) AS ndvi_med FROM det JOIN ndvi ON
   col+0.5>=xmin AND col+0.5<xmax AND row+0.5>=ymin AND row+0.5<ymax GROUP BY fid)
 """
