@@ -23,7 +23,7 @@ def row_number_in(df: DataFrame, keys: list[str], bucket: Column, order_by: list
     are left out before anything is sorted, and later positions of the others as well.
     """
     if not keys:
-        ranked = rank_all(df, order_by, name)
+        ranked = rank_all(df.withColumn("_bucket", bucket), ["_bucket", *order_by], name).drop("_bucket")
         return ranked if upto is None else ranked.where(F.col(name) <= upto)
     b = df.withColumn("_bucket", bucket)
     totals = b.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
