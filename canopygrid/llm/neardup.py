@@ -34,6 +34,7 @@ BLOCK = 512  # classes in a block of a larger node
 WORK = 2_000_000  # comparisons of one node that are done in blocks; beyond, it branches
 VARIED = 0.3  # a node in which fewer classes than this share resemble any sounding class branches at once
 BRANCHES, MAX_DEPTH = 6, 6
+ROWS_PER_FILE = 200_000
 BROADCAST_KEYS = 1_000_000  # document keys (16 MB) that may be sent to every task; more are joined by a shuffle
 SURE = 0.5  # an agreement of signatures below this excludes PERCENT but for 2 in a million pairs
 
@@ -212,29 +213,36 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round every class takes the least label among itself and its neighbours, then the
     label of its label; rounds go on until nothing changes. Neighbours' labels are combined
-    before the shuffle, so a class with very many links is no hot group.
+    before the shuffle, so a class with very many links is no hot group. Tables are written
+    in as many files as their rows call for.
     """
-    both = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "cid"))
+    links = cut_lineage(links)
+    files = 1 + 2 * links.count() // ROWS_PER_FILE
+    keep = lambda df: cut_lineage(df.coalesce(files))
+    both = keep(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "cid"))
     while True:
         seen = both.join(labels.withColumnRenamed("cid", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(seen, labels["cid"] == seen["a"]).select("cid", F.least("label", "near").alias("to"), F.col("label").alias("was"))
         hop = labels.select(F.col("cid").alias("to"), F.col("label").alias("far"))
-        nxt = cut_lineage(step.join(hop, "to").select("cid", F.least("to", "far").alias("label"), "was"))
+        nxt = keep(step.join(hop, "to").select("cid", F.least("to", "far").alias("label"), "was"))
         if nxt.where(F.col("label") != F.col("was")).isEmpty():
             return nxt.select("cid", "label")
         labels = nxt.select("cid", "label")
 
 
-def _labelled(rows: DataFrame, links: list[DataFrame]) -> DataFrame:
+def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Connected parts after more links; earlier parts enter as links to their labels."""
+    if parts is not None:
+        links = links.unionByName(parts.where("cid <> label").select(F.col("cid").alias("a"), F.col("label").alias("b")))
+    return components(links)
+
+
+def _labelled(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
     """Rows with ``label``: the connected part so far, the class itself where it has no link."""
-    if not links:
+    if parts is None:
         return rows.withColumn("label", F.col("cid"))
-    every = links[0]
-    for x in links[1:]:
-        every = every.unionByName(x)
-    parts = components(every).withColumnRenamed("label", "_to")
-    return rows.join(parts, "cid", "left").withColumn("label", F.coalesce("_to", "cid")).drop("_to")
+    return rows.join(parts.withColumnRenamed("label", "_to"), "cid", "left").withColumn("label", F.coalesce("_to", "cid")).drop("_to")
 
 
 def near_duplicates(cfgs: DataFrame, name: str = "name", doc: str = "doc") -> DataFrame:
@@ -250,7 +258,7 @@ def near_duplicates(cfgs: DataFrame, name: str = "name", doc: str = "doc") -> Da
     every = cut_lineage(shingled(cfgs, name, doc))
     classes = cut_lineage(every.where(F.col("cid").isNotNull()).groupBy("cid").agg(
         F.min("key").alias("key"), F.first("sig").alias("sig"), F.first("n").alias("n")))
-    links: list[DataFrame] = []
+    parts: DataFrame | None = None
     groups: list[DataFrame] = []
     spared = None
     nodes = roots(classes)
@@ -259,12 +267,10 @@ def near_duplicates(cfgs: DataFrame, name: str = "name", doc: str = "doc") -> Da
         live = cut_lineage(nodes.join(sizes, "node").join(classes.select("cid", "sig"), "cid"))
         if live.isEmpty():
             break
-        if links:  # nodes whose classes are all connected already need no more comparisons
-            live = _labelled(live, links)
+        live = _labelled(live, parts)
+        if parts is not None:  # nodes whose classes are all connected already need no more comparisons
             mixed = live.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("node")
             live = cut_lineage(live.join(mixed, "node"))
-        else:
-            live = live.withColumn("label", F.col("cid"))
         at = F.when(F.lit(depth == 0), F.col("root")).otherwise(F.lit(-1))
         groups.append(live.where(F.col("m") <= SMALL).select(
             F.xxhash64("node", F.lit(0)).alias("gid"), at.alias("root"), "cid", "sig", "label", F.lit(True).alias("asks")))
@@ -275,9 +281,9 @@ def near_duplicates(cfgs: DataFrame, name: str = "name", doc: str = "doc") -> Da
         large = cut_lineage(large.join(_sounded(large), "node"))
         deeper, alike = large.where((F.col("near") < VARIED) & ~last), large.where((F.col("near") >= VARIED) | last)
         if not alike.isEmpty():
-            links.append(confirm(_blocks(alike, _points(alike)).withColumns({"root": F.lit(-1), "spared": F.lit(0)}), classes, cfgs, name, doc))
+            parts = _joined(parts, confirm(_blocks(alike, _points(alike)).withColumns({"root": F.lit(-1), "spared": F.lit(0)}), classes, cfgs, name, doc))
             # what the point comparisons left apart
-            alike = _labelled(alike.drop("label"), links)
+            alike = _labelled(alike.drop("label"), parts)
             main = alike.groupBy("node", "label").count().groupBy("node").agg(
                 F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("parts")).where("parts > 1").select(
                 "node", F.col("top.label").alias("main"), ((F.col("all") - F.col("top.count")) * F.col("all")).alias("work"))
@@ -293,8 +299,8 @@ def near_duplicates(cfgs: DataFrame, name: str = "name", doc: str = "doc") -> Da
     if groups:
         every_group = functools.reduce(DataFrame.unionByName, groups)
         every_group = every_group.join(spared, "cid", "left") if spared is not None else every_group.withColumn("spared", F.lit(None).cast("int"))
-        links.append(confirm(every_group.withColumn("spared", F.coalesce("spared", F.lit(0))), classes, cfgs, name, doc))
-    placed = _labelled(classes.select("cid", "key"), links)
+        parts = _joined(parts, confirm(every_group.withColumn("spared", F.coalesce("spared", F.lit(0))), classes, cfgs, name, doc))
+    placed = _labelled(classes.select("cid", "key"), parts)
     least = placed.groupBy("label").agg(F.min("key").alias("component_id"))
     of_class = placed.join(least, "label").select("cid", "component_id")
     done = every.drop("sig").join(of_class, "cid", "left")
