@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopygrid.llm import language, neardup, packing, private, templates
+from canopygrid.llm import boilerplate, language, neardup, packing, private
 from canopygrid.session import cut_lineage, shared_dir
 
 
@@ -27,7 +27,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; those of which nothing is left go."""
-    done = templates.drop_templates(docs, name="doc_id", doc="text", dropped="_dropped")
+    done = boilerplate.drop_boilerplate(docs, name="doc_id", doc="text", dropped="_dropped")
     return _measured(done.where((F.col("_dropped") == 0) | F.rlike("text", F.lit("[^\\s]"))))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canopygrid.llm import chat, fingerprints, language, private, templates
+from canopygrid.llm import boilerplate, chat, fingerprints, language, private, templates
 from canopygrid.llm.tagger import Tagger
 
 
@@ -92,6 +92,33 @@ def test_templates_take_in_variants(spark):
     assert "swin" not in rows[9] and rows[10] == logs[5][1]
 
 
+def own_lines(k, n=4):
+    r = random.Random(f"own {k}")
+    return [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(12)) for _ in range(n)]
+
+
+def test_boilerplate_counts_classes_not_copies(spark):
+    shared, block = "this line stands in different documents here", [f"block line {c} travels with the others always" for c in "pqr"]
+    doc = lambda k, *more: "\n".join([*own_lines(k), *more])
+    texts = [doc("a", shared)] * 2 + [doc("b", shared)] * 2  # A, A, B, B
+    texts += [doc("c", "a line of one text copied and of others")] * 60 + [doc(f"d{i}", "a line of one text copied and of others") for i in range(20)]
+    texts += [doc(f"e{i}", *block) for i in range(12)]
+    texts += [doc("f").replace(own_lines("f")[0], own_lines("f")[0] + f" {c}") for c in "xyz"] + [doc("g")] * 5
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, doc("h", shared)), (0, doc("i", shared))]
+    got = boilerplate.drop_boilerplate(spark.createDataFrame(rows, "run_dir long, log string"), dropped="gone").collect()
+    by = {r.run_dir: r for r in got if r.run_dir}
+    assert len(got) == len(rows)
+    # the first text of a line keeps it in all its copies
+    firsts = [r for r in got if shared in r.log]
+    assert {r.log for r in firsts} in ({doc("a", shared)}, {doc("i", shared)}) and all(r.gone == 0 for r in firsts)
+    assert by[2].log == by[3].log == doc("b") and [r.log for r in got if r.run_dir is None] == [doc("h")]
+    assert all(by[i].log == texts[i] for i in range(4, 64)) and all(by[i].log == doc(f"d{i - 64}") for i in range(64, 84))
+    assert by[84].log == texts[84] and all(by[i].log == doc(f"e{i - 84}") for i in range(85, 96))
+    # near and exact copies are left whole
+    assert all(by[i].log == texts[i] for i in range(96, len(texts)))
+    assert boilerplate.drop_boilerplate(spark.createDataFrame([], "run_dir long, log string")).count() == 0
+
+
 LANGS = {"en": "the of and to in is that was for on are with this from have", "de": "der die und das von mit nicht ein auf ist zu den im für auch",
          "es": "de la que el en los se del las por un para con una su"}
 
