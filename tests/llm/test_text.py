@@ -119,6 +119,15 @@ def test_boilerplate_counts_classes_not_copies(spark):
     assert boilerplate.drop_boilerplate(spark.createDataFrame([], "run_dir long, log string")).count() == 0
 
 
+def test_boilerplate_takes_short_lines(spark):
+    doc = lambda k, *more: "\n".join([*own_lines(k), *more])
+    rows = [(i, doc(i, "All rights reserved.", " ", "", str(1000 + i), f"page {i}")) for i in range(12)]
+    rows += [(20 + i, doc(f"few {i}", "Yes indeed.")) for i in range(3)] + [(30 + i, doc("copied", "The end.")) for i in range(40)]
+    got = {r.run_dir: r.log for r in boilerplate.drop_boilerplate(spark.createDataFrame(rows, "run_dir long, log string")).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == doc(i, " ", "", str(1000 + i)) for i in range(1, 12))
+    assert all(got[k] == t for k, t in rows[12:])
+
+
 LANGS = {"en": "the of and to in is that was for on are with this from have", "de": "der die und das von mit nicht ein auf ist zu den im für auch",
          "es": "de la que el en los se del las por un para con una su"}
 
