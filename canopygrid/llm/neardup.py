@@ -52,9 +52,15 @@ def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.ascontiguousarray(raw[:, :4 * ROOTS]).view(np.uint32), np.ascontiguousarray(raw[:, 4 * ROOTS:]).view(np.uint16))
 
 
+def _texts(docs: DataFrame, name: str, doc: str) -> DataFrame:
+    """``key, tid, doc``; the text id tells rows with equal or null keys apart."""
+    text = docs[doc].cast("string")
+    return docs.select(docs[name].alias("key"), F.xxhash64(text).alias("tid"), text.alias("doc"))
+
+
 def shingled(docs: DataFrame, name: str, doc: str) -> DataFrame:
-    """``key, n, cid, sig`` for every row: set size, class and signature; class null for an empty set."""
-    out = T.StructType([T.StructField("key", docs.schema[name].dataType), T.StructField("n", T.LongType()),
+    """``key, tid, n, cid, sig, row`` for every row: text id, set size, class, signature and number; class null for an empty set."""
+    out = T.StructType([T.StructField("key", docs.schema[name].dataType), T.StructField("tid", T.LongType()), T.StructField("n", T.LongType()),
                         T.StructField("cid", T.LongType()), T.StructField("sig", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,10 +68,11 @@ def shingled(docs: DataFrame, name: str, doc: str) -> DataFrame:
             sets = shingle_sets(texts_of(b, "doc"))
             packed = _pack(signatures(sets))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(map(len, sets), pa.int64()), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()),
+                [b.column(0), b.column(1), pa.array(map(len, sets), pa.int64()), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()),
                  pa.array([p if len(s) else None for p, s in zip(packed, sets, strict=True)], pa.binary())], names=out.names)
 
-    return docs.select(docs[name].alias("key"), docs[doc].cast("string").alias("doc")).mapInArrow(run, out)
+    done = _texts(docs, name, doc).select("key", "tid", "doc").mapInArrow(run, out)
+    return done.withColumn("row", F.monotonically_increasing_id())
 
 
 NODE = T.StructType([T.StructField("node", T.LongType()), T.StructField("root", T.IntegerType()), T.StructField("cid", T.LongType())])
@@ -191,10 +198,11 @@ def confirm(groups: DataFrame, classes: DataFrame, docs: DataFrame, name: str, d
     """Links between the classes of each group; ``asks`` rows are compared with all rows of the group."""
     groups = groups.select(*[f.name for f in GROUP.fields])
     wanted = cut_lineage(groups.groupBy("gid").applyInArrow(_wanted, GROUP))
-    # one document of each wanted class gives its set
-    keys = cut_lineage(wanted.select("cid").distinct().join(classes.select("cid", "key"), "cid").select("key").distinct())
+    # one document of each wanted class gives its set; all copies do where the class has no key
+    keys = cut_lineage(wanted.select("cid").distinct().join(classes.select("cid", "least"), "cid").select(
+        F.col("least.key").alias("_key"), F.col("least.tid").alias("_tid")).distinct())
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    texts = docs.select(docs[name].alias("key"), docs[doc].cast("string").alias("doc")).join(keys, "key")
+    texts = _texts(docs, name, doc).join(keys, F.col("key").eqNullSafe(F.col("_key")) & (F.col("tid") == F.col("_tid")))
     out = T.StructType([T.StructField("cid", T.LongType()), T.StructField("set", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +211,6 @@ def confirm(groups: DataFrame, classes: DataFrame, docs: DataFrame, name: str, d
             yield pa.RecordBatch.from_arrays([pa.array(map(class_id, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=out.names)
 
     sets = texts.select("key", "doc").mapInArrow(run, out)
-    # a repeated key with another text may bring another class along; the join leaves it out
     full = wanted.join(sets.dropDuplicates(["cid"]), "cid")
     return cut_lineage(full.groupBy("gid").applyInArrow(_linked, LINKS))
 
@@ -252,12 +259,29 @@ def near_duplicates(cfgs: DataFrame, name: str = "name", doc: str = "doc") -> Da
     shingles; ``component_id`` is the least key reachable by links, ``kept`` tells whether it
     is the row's own. A null, empty or blank document has no shingles and stands alone. Rows with
     equal keys are repeated rows of one document if their texts are equal; else each text is
-    placed by itself. Other columns are ignored; an empty table gives no rows.
+    placed by itself. Of rows with the least key, or of a component without any key, one is kept.
+    Other columns are ignored; an empty table gives no rows.
     """
+    done = _placed(cfgs, name, doc)
+    return done.select(F.col("key").alias(name), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def keep_one(docs: DataFrame, name: str = "name", doc: str = "doc") -> DataFrame:
+    """The rows, unchanged, that ``near_duplicates`` keeps: one of each component, and all without shingles."""
+    of_text = cut_lineage(_placed(docs, name, doc).groupBy("key", "tid").agg(
+        F.max("kept").alias("kept"), (F.count("cid") > 1).alias("_many")).where("kept").select(
+        F.col("key").alias("_key"), F.col("tid").alias("_tid"), "_many"))
+    rows = docs.join(of_text, docs[name].eqNullSafe(F.col("_key")) & (F.xxhash64(docs[doc].cast("string")) == F.col("_tid")))
+    # only repeated rows are moved to be told apart
+    return rows.where("not _many").unionByName(rows.where("_many").dropDuplicates(["_key", "_tid"])).select(*docs.columns)
+
+
+def _placed(cfgs: DataFrame, name: str, doc: str) -> DataFrame:
+    """``key, tid, n, cid, component_id, kept`` for every row."""
     need(cfgs, name, doc)
     every = cut_lineage(shingled(cfgs, name, doc))
     classes = cut_lineage(every.where(F.col("cid").isNotNull()).groupBy("cid").agg(
-        F.min("key").alias("key"), F.first("sig").alias("sig"), F.first("n").alias("n")))
+        F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tid", "row")).alias("least"), F.first("sig").alias("sig"), F.first("n").alias("n")))
     parts: DataFrame | None = None
     groups: list[DataFrame] = []
     spared = None
@@ -300,13 +324,13 @@ def near_duplicates(cfgs: DataFrame, name: str = "name", doc: str = "doc") -> Da
         every_group = functools.reduce(DataFrame.unionByName, groups)
         every_group = every_group.join(spared, "cid", "left") if spared is not None else every_group.withColumn("spared", F.lit(None).cast("int"))
         parts = _joined(parts, confirm(every_group.withColumn("spared", F.coalesce("spared", F.lit(0))), classes, cfgs, name, doc))
-    placed = _labelled(classes.select("cid", "key"), parts)
-    least = placed.groupBy("label").agg(F.min("key").alias("component_id"))
-    of_class = placed.join(least, "label").select("cid", "component_id")
+    placed = _labelled(classes.select("cid", "least"), parts)
+    least = placed.groupBy("label").agg(F.min("least").alias("least"))
+    of_class = placed.select("cid", "label").join(least, "label").select(
+        "cid", F.col("least.key").alias("component_id"), F.col("least.row").alias("only"))
     done = every.drop("sig").join(of_class, "cid", "left")
-    own = F.coalesce("component_id", "key")
-    return done.select(F.col("key").alias(name), F.col("n").alias("n_shingles"), own.alias("component_id"),
-                       own.eqNullSafe(F.col("key")).alias("kept"))
+    return done.select("key", "tid", "n", "cid", F.coalesce("component_id", "key").alias("component_id"),
+                       F.coalesce(F.col("row") == F.col("only"), F.lit(True)).alias("kept"))
 
 
 def _points(rows: DataFrame) -> DataFrame:

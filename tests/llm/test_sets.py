@@ -79,6 +79,23 @@ def test_near_duplicates_of_nothing_and_repeats(cfgs):
     assert [r.kept for r in rows if r.name is None] == [True]
 
 
+def test_one_row_of_each_group_stays(cfgs):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = lambda k: text(k).replace(f"w{k}x30 ", "other ")
+    docs = [(None, text(1)), (None, near(1)), (None, text(1)),  # a group without keys
+            (None, text(2)), (7, near(2)),  # a key goes before none
+            (8, text(3)), (8, text(3)), (8, near(3)),  # repeated rows, one key on near texts
+            (9, text(4)), (9, text(5)),  # one key on different texts
+            (None, text(6)), (None, None), (None, "")]
+    rows = neardup.near_duplicates(cfgs(docs)).collect()
+    assert len(rows) == len(docs) and sum(r.kept for r in rows) == 8
+    kept = neardup.keep_one(cfgs(docs), name="name", doc="doc")
+    assert kept.columns == cfgs(docs).columns
+    got = [(r.name, r.doc) for r in kept.collect()]
+    assert len(got) == 8 and set(docs[3:5]) & set(got) == {(7, near(2))} and {docs[8], docs[9], *docs[10:]} <= set(got)
+    assert sum(k == 8 for k, _ in got) == 1 and sum(t in (text(1), near(1)) for _, t in got) == 1
+
+
 def test_signatures_estimate_likeness():
     a, b = shingles.shingle_sets(["w%d " % i * 1 for i in [0]] + ["x"])[:2]
     assert len(a) == len(b) == 1 and a[0] != b[0]
