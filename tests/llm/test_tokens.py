@@ -53,6 +53,9 @@ def test_word_ids_equal_the_library():
     texts = ["".join(r.choice("ab Cdé\n'sß漢😀\x1c\xa01२.,!́ſKİµª\x85 Σσ|#") for _ in range(r.randint(0, 40))) for _ in range(1500)]
     for t, ids in zip(texts, w(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == w.tok.encode(t, add_special_tokens=False).ids
+    small = WordIds(WORDS, word_bytes=4000, stem_bytes=2000)  # ages many times, with the same ids
+    assert [x for i in range(0, 1500, 10) for x in small(texts[i:i + 10])] == w(texts)
+    assert small.words.old and len(small.words) + len(small.words.old) < 300
 
 
 def test_token_files(spark, cfgs):
