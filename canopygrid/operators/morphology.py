@@ -278,17 +278,6 @@ def polygonize(px: DataFrame, within: list[str], conn: int = 4, min_px: int = 6,
     return trace_rings(lab.join(big, [*within, "comp"]), within, "comp", ["n_px"], row, col)
 
 
-def map_polygons(px: DataFrame, value: str = "lc", nodata: int = 0, block: int = 256,
-                 row="row", col="col") -> DataFrame:
-    """City map to polygons per class. Rings are cut at block edges: a component that
-    spans the city is a multi-part feature whose parts share ``comp``, and no part is
-    larger than a block."""
-    lab = components(px.where(F.col(value) != nodata), 4, block, value, row, col)
-    cut = lab.withColumns({"block_r": F.floor(F.col(row) / block).cast("int"),
-                           "block_c": F.floor(F.col(col) / block).cast("int")})
-    return trace_rings(cut, ["block_r", "block_c"], "comp", [value], row, col)
-
-
 def map_areas(px: DataFrame, value: str = "lc", nodata: int = 0, pixel_area: float = 1.0,
               block: int = 256) -> DataFrame:
     """Number of polygons and area per class of the final map."""

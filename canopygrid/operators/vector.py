@@ -129,33 +129,6 @@ def rasterize(ft: DataFrame, grid: DataFrame, width: int | None = None, height:
     )
 
 
-def inside(points: DataFrame, ft: DataFrame, key: list[str], x: str = "x", y: str = "y",
-           band: float = 16.0, strict: bool = True) -> DataFrame:
-    """Points inside any ring of ``ft`` (columns fid, ring).
-
-    Ray casting as an equi-join: ring edges are listed per horizontal band, points
-    carry their band, and the parity of crossings to the right is counted per
-    (point, ring). Only edges of the point's own band that reach to its right are
-    met. ``strict`` excludes points on an edge.
-    """
-    e = ring_edges(ft, ["fid"]).withColumn(
-        "_band", F.explode(F.sequence(F.floor(F.col("y1") / band), F.floor(F.col("y2") / band))))
-    p = points.select(*key, F.col(x).alias("_px"), F.col(y).alias("_py")).withColumn(
-        "_band", F.floor(F.col("_py") / band))
-    px, py = F.col("_px"), F.col("_py")
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    met = (y1 <= py) & (py <= y2) & (F.greatest(x1, x2) >= px)
-    crosses = (y1 <= py) & (py < y2) & (px < x1 + (py - y1) * F.try_divide(x2 - x1, y2 - y1))
-    touches = ((x2 - x1) * (py - y1) == (y2 - y1) * (px - x1)) & (F.least(x1, x2) <= px)
-    hit = (
-        p.join(e, (p["_band"] == e["_band"]) & met)
-        .groupBy(*key, "fid")
-        .agg(F.sum(crosses.cast("int")).alias("_n"), F.bool_or(touches).alias("_on"))
-    )
-    ok = (F.col("_n") % 2 == 1) & ~F.col("_on") if strict else (F.col("_n") % 2 == 1) | F.col("_on")
-    return points.join(hit.where(ok).select(*key).distinct(), key, "left_semi")
-
-
 def features_near(ft: DataFrame, rects: DataFrame, buffer_m: float = 0.0, pad: float = 2.0,
                   cell: float = 16.0, rect_key: str = "patch", clip: bool = True) -> DataFrame:
     """Features whose box meets a rectangle, optionally widened by buffer + pad.

@@ -6,6 +6,8 @@ rows. Only integer arithmetic and doubles are used.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,10 @@ BOUNDARY = ((10, 10), (190, 10), (190, 70), (100, 70), (100, 110), (190, 110), (
 BANDS = ["red", "green", "blue", "nir"]
 POINT_GRID = Grid(0.5, 0.5, 0.0, 0.0, 100, 100)
 FINE_GRID = Grid(0.3, 0.3, 0.0, 0.0, 166, 166)
+# The point grid placed in UTM zone 12, and a web Mercator grid over the same ground.
+UTM_CODE, MERCATOR_CODE = 6341, 3857
+UTM_GRID = Grid(0.5, 0.5, 400000.0, 3700000.0, 100, 100)
+MERCATOR_GRID = Grid(0.4, 0.4, -12476220.0, 3953148.0, 160, 160)
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -195,6 +201,24 @@ CTES = {
 NEEDS = {"ndvi": ["px"], "cover": ["ft"]}
 
 
+def utm_ctes(src: str, dst: str) -> str:
+    """SQL of ``to_utm``: ``src`` has lam (radians from the central meridian) and sp (sine of the latitude);
+    ``dst`` adds east and north."""
+    n = 1 / (2 * 298.257222101 - 1)
+    r = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    k = 2 * math.sqrt(n) / (1 + n)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    more = lambda f, h: "".join(f"+({a!r}::DOUBLE)*{f}({2 * j}*xi)*{h}({2 * j}*eta)" for j, a in enumerate(alpha, 1))
+    return f"""{dst}_h AS (SELECT *, sinh(atanh(sp)-{k!r}::DOUBLE*atanh({k!r}::DOUBLE*sp)) AS tt FROM {src}),
+ {dst}_q AS (SELECT *, atan2(tt,cos(lam)) AS xi, atanh(sin(lam)/sqrt(1+tt*tt)) AS eta FROM {dst}_h),
+ {dst} AS (SELECT *, 500000+{r!r}::DOUBLE*(eta{more('cos', 'sinh')}) AS east, {r!r}::DOUBLE*(xi{more('sin', 'cosh')}) AS north FROM {dst}_q)"""
+
+
+def mercator_angles(x: str, y: str) -> str:
+    """SQL of a web Mercator position as ``utm_ctes`` wants it, in zone 12."""
+    return f"({x})/6378137.0::DOUBLE-radians(-111.0::DOUBLE) AS lam, sin(2*atan(exp(({y})/6378137.0::DOUBLE))-pi()/2) AS sp"
+
+
 def with_(body: str, *names: str, recursive: bool = False) -> str:
     """SQL text: the named CTEs and what they need, then ``body``."""
     order: list[str] = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from canopygrid.functions import bands as B
@@ -13,7 +15,8 @@ from canopygrid.operators import augment, layers, points, raster, sampling, vect
 from canopygrid.plans import fixtures as X
 from canopygrid.plans.fixtures import with_
 from canopygrid.plans.registry import query
-from canopygrid.sources import config, discovery, tables
+from canopygrid.session import shared_dir
+from canopygrid.sources import clustered, config, discovery, tables
 
 CFG = ChipConfig()
 
@@ -28,14 +31,25 @@ def r6(*names):
 
 # ------------------------------------------------------------------ scans
 
+def _stored(spark, kind):
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def _stored_raster(spark, d):
+    """The mosaic as a raster on disk, in blocks along the curve."""
+    path = _stored(spark, "raster")
+    clustered.write_raster(X.pixels(spark, d).select("scene", "row", "col", *X.BANDS), path, block=X.CHIP)
+    return path
+
+
 @query("scan_bands", with_("SELECT scene,row,col,red,nir FROM px", "px"))
 def scan_bands(spark, d):
-    return tables.scan_bands(X.pixels(spark, d), ["red", "nir"])
+    return clustered.read_bands(spark, _stored_raster(spark, d), ["red", "nir"], ("scene", "row", "col"))
 
 
 @query("window_read", with_("SELECT row,col,red,green,blue,nir FROM px WHERE row BETWEEN 16 AND 47 AND col BETWEEN 32 AND 95", "px"))
 def window_read(spark, d):
-    return tables.window_read(X.pixels(spark, d), 16, 32, 32, 64).select("row", "col", *X.BANDS)
+    return clustered.read_window(spark, _stored_raster(spark, d), 16, 32, 32, 64).select("row", "col", *X.BANDS)
 
 
 @query("scan_points", with_("SELECT *, CAST(6341 AS INTEGER) AS epsg FROM pt", "pt"))
@@ -43,10 +57,27 @@ def scan_points(spark, d):
     return tables.scan_points(X.points(spark, d), 6341)
 
 
-@query("bbox_scan", with_("""SELECT fid,xmin,ymin,xmax,ymax FROM ft
- WHERE xmax>=48 AND xmin<=92 AND ymax>=38 AND ymin<=82""", "ft"))
+# A web Mercator box; the layer lies in UTM, ten metres to a unit.
+BOX = (-12475800.0, 3953500.0, -12475300.0, 3954000.0)
+
+
+def _bbox_sql():
+    """The padded box's sides at 33 places each, projected; the margin is a 1024th of the larger extent."""
+    x0, y0, x1, y1 = BOX[0] - 2, BOX[1] - 2, BOX[2] + 2, BOX[3] + 2
+    sides = " UNION ALL ".join(f"SELECT {x}+i/32.0::DOUBLE*{dx} AS x, {y}+i/32.0::DOUBLE*{dy} AS y FROM range(33) r(i)" for x, y, dx, dy in (
+        (x0, y0, x1 - x0, 0.0), (x0, y1, x1 - x0, 0.0), (x0, y0, 0.0, y1 - y0), (x1, y0, 0.0, y1 - y0)))
+    return with_(f""", sides AS ({sides}), ang AS (SELECT {X.mercator_angles('x', 'y')} FROM sides), {X.utm_ctes('ang', 'p')},
+ box AS (SELECT min(east) AS e0, max(east) AS e1, min(north) AS n0, max(north) AS n1, greatest(max(east)-min(east),max(north)-min(north))/1024 AS m FROM p),
+ layer AS (SELECT fid, 400000+10*xmin AS xmin, 3700000+10*ymin AS ymin, 400000+10*xmax AS xmax, 3700000+10*ymax AS ymax FROM ft)
+ SELECT fid, xmin, ymin, xmax, ymax FROM layer, box WHERE xmax>=e0-m AND xmin<=e1+m AND ymax>=n0-m AND ymin<=n1+m""", "ft")
+
+
+@query("bbox_scan", _bbox_sql())
 def bbox_scan(spark, d):
-    return tables.bbox_scan(X.features(spark, d), 50, 40, 90, 80).select("fid", "xmin", "ymin", "xmax", "ymax")
+    path = _stored(spark, "layer")
+    at = lambda c, o: (o + F.col(c) * 10).alias(c)
+    clustered.write_layer(X.features(spark, d).select("fid", at("xmin", 400000), at("ymin", 3700000), at("xmax", 400000), at("ymax", 3700000)), path, X.UTM_CODE)
+    return clustered.read_layer(spark, path, BOX, X.MERCATOR_CODE).select("fid", "xmin", "ymin", "xmax", "ymax")
 
 
 @query("links_scan", r"""SELECT url, regexp_extract(url,'([^/]+?)(\.[^./]*)?/*$',1) AS stem FROM pages""")
@@ -561,6 +592,27 @@ def regrid_bilinear(spark, d):
     return raster.regrid(cells, "dsm", X.POINT_GRID, X.FINE_GRID).withColumn("dsm", F.round("dsm", 6))
 
 
+def _regrid_crs_sql():
+    """Gathered from the target's side: every pixel is projected into the zone and meets its four cells."""
+    g, u = X.MERCATOR_GRID, X.UTM_GRID
+    return with_(f""", s AS (SELECT CAST(floor(y/0.5) AS INTEGER) AS r, CAST(floor(x/0.5) AS INTEGER) AS c, max(z) AS v
+   FROM pt WHERE cls NOT IN (7,18) GROUP BY 1,2),
+ g AS (SELECT CAST(i AS INTEGER) AS row, CAST(j AS INTEGER) AS col, {X.mercator_angles(f'{g.c}+{g.a}*(j+0.5)', f'{g.f}+{g.e}*(i+0.5)')}
+   FROM range({g.height}) a(i), range({g.width}) b(j)), {X.utm_ctes('g', 'p')},
+ t AS (SELECT row, col, sx, sy, floor(sx) AS c0, floor(sy) AS r0 FROM (SELECT row, col, (east-{u.c})/{u.a}-0.5 AS sx,
+   (north-{u.f})/{u.e}-0.5 AS sy FROM p) WHERE sx BETWEEN -0.5 AND {u.width}-0.5 AND sy BETWEEN -0.5 AND {u.height}-0.5),
+ n AS (SELECT row, col, r0+di AS r, c0+dj AS c, (1-abs(sx-(c0+dj)))*(1-abs(sy-(r0+di))) AS w FROM t, (VALUES (0),(1)) a(di), (VALUES (0),(1)) b(dj))
+ SELECT row, col, round(sum(w*v)/sum(w),1) AS dsm FROM n JOIN s ON n.r=s.r AND n.c=s.c WHERE w>0 GROUP BY row, col""", "pt")
+
+
+@query("regrid_crs", _regrid_crs_sql())
+def regrid_crs(spark, d):
+    """Surface cells of a UTM zone on a web Mercator grid, which lies turned against it."""
+    cells = points.grid_points(X.points(spark, d), surface="dsm", mode="bin").withColumnsRenamed({"cy": "row", "cx": "col"})
+    done = raster.regrid_crs(cells, "dsm", X.UTM_GRID, X.UTM_CODE, X.MERCATOR_GRID, X.MERCATOR_CODE)
+    return done.withColumn("dsm", F.round("dsm", 1))
+
+
 @query("mosaic", with_("""SELECT CAST(floor(y/1.5) AS INTEGER) AS row, CAST(floor(x/1.5) AS INTEGER) AS col, arg_max(z, o) AS z FROM (
   SELECT x,y,z, (CASE file WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END)*1000000000000 + CAST(x*8+400*y*8+160000*z AS BIGINT)*10+cls AS o FROM pt
   WHERE cls<>7) GROUP BY 1,2""", "pt"))

@@ -11,7 +11,7 @@ from canopygrid.model import (
     DETECTION_SCORE_MIN, MIN_PX_TREE, MIN_PX_VEG, NDVI_VEG_MIN, ROAD_RADIUS_M, TREE_MIN_M,
 )
 from canopygrid.functions.keys import order_key_sql
-from canopygrid.operators import layers, morphology, sampling, vector
+from canopygrid.operators import cover, layers, morphology, repair, rings, sampling, vector
 from canopygrid.operators.ranking import row_number_in
 from canopygrid.plans import fixtures as X
 from canopygrid.plans.fixtures import with_
@@ -93,6 +93,31 @@ def to_utm(spark, d):
     return X.features(spark, d).select("fid", F.round(x, 0).alias("x"), F.round(y, 0).alias("y"))
 
 
+def _from_utm_sql():
+    n = 1 / (2 * 298.257222101 - 1)
+    r = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440,
+            17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+             56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+    less = lambda f, g: "".join(f"-({b!r}::DOUBLE)*{f}({2 * j}*xi)*{g}({2 * j}*eta)" for j, b in enumerate(beta, 1))
+    more = "".join(f"+({e!r}::DOUBLE)*sin({2 * j}*chi)" for j, e in enumerate(delta, 1))
+    return with_(f""", p AS (SELECT fid, 400000+xmin*500 AS x, 3700000+ymin*500 AS y, (3700000+ymin*500)/{r!r}::DOUBLE AS xi, (xmin*500-100000)/{r!r}::DOUBLE AS eta FROM ft),
+ q AS (SELECT *, xi{less('sin', 'cosh')} AS u, eta{less('cos', 'sinh')} AS v FROM p),
+ h AS (SELECT *, asin(sin(u)/cosh(v)) AS chi FROM q)
+ SELECT fid, round(degrees(atan2(sinh(v),cos(u)))-111,9) AS lon, round(degrees(chi{more}),9) AS lat, round(x,3) AS x, round(y,3) AS y FROM h""", "ft")
+
+
+@query("from_utm", _from_utm_sql())
+def from_utm(spark, d):
+    """Positions of a zone as degrees, and back again: they return to the millimetre."""
+    ft = X.features(spark, d).select("fid", (400000.0 + F.col("xmin") * 500).alias("e"), (3700000.0 + F.col("ymin") * 500).alias("n"))
+    lon, lat = C.reproject("e", "n", X.UTM_CODE, 4326)
+    there = ft.select("fid", lon.alias("lon"), lat.alias("lat"))
+    x, y = C.reproject("lon", "lat", 4326, X.UTM_CODE)
+    return there.select("fid", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
 # ------------------------------------------------------------------ spatial joins
 
 @query("feature_patch_join", with_(""", rc AS (SELECT DISTINCT chip, (chip%25)*8.0::DOUBLE AS x0, (chip//25)*8.0::DOUBLE AS y0 FROM px)
@@ -113,7 +138,42 @@ def _chip_rects(spark, d):
   OR (x>10 AND x<100 AND y>10 AND y<150)""", "px"))
 def centers_in_boundary(spark, d):
     ctr = _chip_rects(spark, d).select("chip", (F.col("xmin") + 4).alias("x"), (F.col("ymin") + 4).alias("y"))
-    return vector.inside(ctr, X.boundary(spark), ["chip"])
+    return cover.inside(ctr, X.boundary(spark), ["chip"])
+
+
+# A feature's corners as two triangles that cross, and as a square that goes out of its own corner.
+TORN = with_("""SELECT fid, CAST(CASE fid%3 WHEN 1 THEN 2 ELSE 1 END AS BIGINT) AS n_rings, CAST(CASE fid%3 WHEN 0 THEN 4 ELSE 6 END AS BIGINT) AS n_vertices,
+ round(w*h*CASE fid%3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.75 END,6)::DOUBLE AS area, fid%3<>0 AS repaired FROM ft""", "ft")
+
+
+@query("repair_rings", TORN)
+def repair_rings(spark, d):
+    x0, y0, x1, y1 = (F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
+    xm, ym = (x0 + x1) / 2, (y0 + y1) / 2
+    ring = lambda *p: F.array(*[G.point(*v) for v in (*p, p[0])])
+    torn = (F.when(F.col("fid") % 3 == 0, G.box_ring(x0, y0, x1, y1)).when(F.col("fid") % 3 == 1, ring((x0, y0), (x1, y1), (x1, y0), (x0, y1)))
+            .otherwise(ring((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0), (xm, y0), (xm, ym), (x0, ym))))
+    done = repair.repair_rings(X.features(spark, d).select("fid", torn.alias("ring")), ["fid"])
+    return done.groupBy("fid").agg(F.count(F.lit(1)).alias("n_rings"), F.sum(F.size("ring") - 1).alias("n_vertices"),
+                                   F.round(F.sum(G.signed_area("ring")), 6).alias("area"), F.bool_or("repaired").alias("repaired"))
+
+
+def _under(c: str) -> str:
+    """Area under a triangle's slanted side and above y = c, from c0 on to c1."""
+    h = lambda x: f"greatest(ymin+h*(1-({x}-xmin)/w)-({c}),0.0)"
+    return f"(power({h('x0')},2)-power({h('x1')},2))*w/(2*h)"
+
+
+@query("clip_rings", with_(f""", rc AS (SELECT DISTINCT chip, (chip%25)*8.0::DOUBLE AS rx, (chip//25)*8.0::DOUBLE AS ry FROM px),
+ pr AS (SELECT fid, chip, tri, xmin, ymin, w, h, greatest(xmin,rx) AS x0, greatest(ymin,ry) AS y0, least(xmax,rx+8) AS x1, least(ymax,ry+8) AS y1
+  FROM ft JOIN rc ON xmin<rx+8 AND xmax>rx AND ymin<ry+8 AND ymax>ry),
+ a AS (SELECT fid, chip, round(CASE WHEN tri THEN {_under('y0')}-{_under('y1')} ELSE (x1-x0)*(y1-y0) END,6) AS area FROM pr)
+ SELECT fid, chip, area FROM a WHERE area>0""", "px", "ft"))
+def clip_rings(spark, d):
+    """Features cut to the chips they meet, as rings."""
+    met = vector.features_near(X.features(spark, d), _chip_rects(spark, d), pad=0.0, rect_key="chip")
+    cut = repair.clip_rings(met, "ring", ("c_xmin", "c_ymin", "c_xmax", "c_ymax"))
+    return cut.select("fid", "chip", F.round(G.area("ring"), 6).alias("area")).where("area > 0")
 
 
 ROADS = """, hit AS (SELECT px.row, px.col, count(*) AS n_lines FROM px JOIN road ON
@@ -420,11 +480,29 @@ def polygonize_area(spark, d):
         F.max(b["xmax"]).alias("xmax"), F.max(b["ymax"]).alias("ymax"))
 
 
-@query("polygonize_rings")
+def _outline(src: str) -> str:
+    """Corners and sides of every region, cell by cell: a side ends in a right turn where the cell ahead is
+    another region's, in a left turn where the cell ahead and the one to its left are the region's own."""
+    same = lambda t, y, x: f"LEFT JOIN {src} {t} ON {t}.grp=a.grp AND {t}.l=a.l AND {t}.row=a.row+{y} AND {t}.col=a.col+{x}"
+    return f""", {src}_s AS (SELECT a.grp, a.l, n.l IS NULL AS side, f.l IS NOT NULL AS ahead, d.l IS NOT NULL AS slant
+   FROM {src} a CROSS JOIN (VALUES (0,1,-1,0),(1,0,0,1),(0,-1,1,0),(-1,0,0,-1)) w(fy,fx,oy,ox)
+   {same('n', 'oy', 'ox')} {same('f', 'fy', 'fx')} {same('d', 'fy+oy', 'fx+ox')}),
+ {src}_o AS (SELECT grp, l, count(*) FILTER (WHERE side) AS perimeter, count(*) FILTER (WHERE side AND NOT ahead) AS turns_right,
+   count(*) FILTER (WHERE side AND ahead AND slant) AS turns_left FROM {src}_s GROUP BY 1,2)"""
+
+
+# every outer ring has four right turns more than left ones, every hole four fewer
+RINGS = "turns_right+turns_left AS n_vertices, 2-(turns_right-turns_left)//4 AS n_rings"
+
+
+@query("polygonize_rings", with_(CLOSED + _outline("lab") + f""", comps AS (SELECT grp, l, count(*) AS n_px, dense_rank() OVER (PARTITION BY grp ORDER BY l) AS comp FROM lab GROUP BY 1,2)
+ SELECT grp AS patch, CAST(comp AS INTEGER) AS comp, {RINGS} FROM comps JOIN lab_o USING (grp, l) WHERE n_px>=6""", "ndvi", recursive=True))
 def polygonize_rings(spark, d):
     closed = morphology.morph(_veg(spark, d, 0.2), "close", P, P, ["patch"])
-    return morphology.polygonize(closed, ["patch"], 4, MIN_PX_VEG).select(
-        "patch", "comp", "ring_no", "is_hole", F.size("ring").alias("n_vertices"))
+    parts = morphology.polygonize(closed, ["patch"], 4, MIN_PX_VEG)
+    return parts.groupBy("patch", "comp").agg(
+        F.sum(F.size("ring") - 1).alias("n_vertices"), F.count(F.when(~F.col("is_hole"), 1)).alias("_outer"),
+        F.count(F.lit(1)).alias("n_rings")).where("_outer = 1").drop("_outer")
 
 
 @query("seed_features", with_(CLOSED + """ SELECT patch, CAST(row_number() OVER (PARTITION BY patch ORDER BY comp) AS INTEGER) AS id, CAST(3 AS INTEGER) AS class, n_px
@@ -464,10 +542,12 @@ def _city(spark, d):
 MAP = f", mm AS (SELECT * FROM (SELECT 0 AS g, row, col, {LC} AS lc FROM ndvi) WHERE lc<>0)" + _label("mm", "lab", 4, "g", ", lc", "AND a.lc=b.lc")
 
 
-@query("map_polygons", with_(MAP + """ SELECT lc, (l//100000)*2147483648+l%100000 AS comp, count(*)::DOUBLE AS area FROM lab GROUP BY 1,2""", "ndvi", recursive=True))
+@query("map_polygons", with_(MAP + _outline("lab") + f""", n AS (SELECT lc, l, count(*) AS n_px FROM lab GROUP BY 1,2)
+ SELECT lc, (l//100000)*2147483648+l%100000 AS comp, n_px, perimeter, {RINGS}, n_px::DOUBLE AS area FROM n JOIN lab_o USING (l)""", "ndvi", recursive=True))
 def map_polygons(spark, d):
-    parts = morphology.map_polygons(_city(spark, d), "lc", block=64)
-    return parts.groupBy("lc", "comp").agg(F.sum(G.signed_area("ring")).alias("area"))
+    whole = rings.city_polygons(_city(spark, d), block=64)
+    area = F.aggregate(F.transform("rings", G.signed_area), F.lit(0.0), lambda a, x: a + x)
+    return whole.select("lc", "comp", "n_px", "perimeter", "n_vertices", F.size("rings").cast("long").alias("n_rings"), area.alias("area"))
 
 
 @query("map_areas", with_(MAP + """ SELECT lc, count(DISTINCT l) AS n_polygons, round(count(*)*0.09::DOUBLE,6) AS area FROM lab GROUP BY 1""", "ndvi", recursive=True))

@@ -8,37 +8,11 @@ from pyspark.sql import functions as F
 from canopygrid.model import FEATURE_SCHEMA
 
 
-def scan_bands(px: DataFrame, bands: list[str], keys=("scene", "row", "col")) -> DataFrame:
-    """Only the wanted bands; the projection reaches the Parquet reader."""
-    return px.select(*keys, *bands)
-
-
-def window_read(px: DataFrame, row0: int, col0: int, height: int, width: int) -> DataFrame:
-    """Sub-rectangle as plain range predicates, so row groups and block partitions prune."""
-    return px.where(F.col("row").between(row0, row0 + height - 1) & F.col("col").between(col0, col0 + width - 1))
-
-
 def scan_points(pt: DataFrame, epsg: int) -> DataFrame:
     """Point returns with the reference system overridden, never converted."""
     return pt.select("x", "y", "z", "cls", "file").withColumn("epsg", F.lit(epsg))
 
 
-def bbox_scan(ft: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float,
-              buffer_m: float = 0.0, pad: float = 2.0) -> DataFrame:
-    """Features whose stored box meets the padded box (row groups prune on min/max)."""
-    m = buffer_m + pad
-    return ft.where((F.col("xmax") >= xmin - m) & (F.col("xmin") <= xmax + m)
-                    & (F.col("ymax") >= ymin - m) & (F.col("ymin") <= ymax + m))
-
-
-def write_raster(px: DataFrame, path: str, block: int = 256) -> None:
-    """Pixels clustered by block inside scene partitions, for range pruning."""
-    px.withColumns({"block_r": F.floor(F.col("row") / block).cast("int"),
-                    "block_c": F.floor(F.col("col") / block).cast("int")}).repartition(
-        "scene", "block_r", "block_c").sortWithinPartitions("scene", "block_r", "block_c", "row", "col"
-    ).write.partitionBy("scene").mode("overwrite").parquet(path)
-
-
 def write_chips(chips: DataFrame, path: str) -> None:
     """Chip set partitioned by size and split; readers of one split open only its files."""
     chips.write.partitionBy("patch_size", "split").mode("overwrite").parquet(path)

@@ -36,15 +36,6 @@ def test_old_mask_name(spark, sf, tmp_path):
         tables.read_chips(spark, str(tmp_path / "none"))
 
 
-def test_window_and_columns_reach_the_scan(spark, sf, tmp_path):
-    p = str(tmp_path / "raster")
-    tables.write_raster(X.pixels(spark, sf).select("scene", "row", "col", *X.BANDS), p)
-    px = tables.scan_bands(tables.window_read(spark.read.parquet(p), 16, 0, 8, 8), ["red"])
-    plan = px._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(row,16)" in plan and "nir" not in plan.split("ReadSchema")[1]
-    assert px.count() == 64
-
-
 def test_publish_is_idempotent_and_partial(spark, tmp_path):
     p = str(tmp_path / "pub")
     a = spark.createDataFrame([("s1", 1), ("s1", 2), ("s2", 3)], "scene string, v int")

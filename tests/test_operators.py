@@ -12,7 +12,7 @@ from canopygrid.functions import geometry as G
 from canopygrid.functions import names as N
 from canopygrid.model import ChipConfig
 from canopygrid.functions.keys import is_validation, order_key, unit_draw
-from canopygrid.operators import augment, layers, metrics, morphology, points, ranking, raster, sampling, vector
+from canopygrid.operators import augment, cover, layers, metrics, morphology, points, ranking, raster, sampling, vector
 
 NAN, INF = float("nan"), float("inf")
 
@@ -86,6 +86,50 @@ def test_projection_round_trip(spark):
         C.reproject("x", "y", 2868, 3857)
 
 
+@pytest.mark.parametrize("code", [26901, 26912, 6341, 26923])
+def test_utm_round_trip(spark, code):
+    zone = C.utm_zone(code)
+    df = spark.createDataFrame([(zone * 6 - 183 + x, float(y)) for x in (-3.0, -1.1, 0.0, 2.0, 3.0) for y in (0, 1, 33, 48, 70, 83)], "lon double, lat double")
+    e, n = C.reproject("lon", "lat", 4326, code)
+    back = df.select("lon", "lat", e.alias("e"), n.alias("n"))
+    lon, lat = C.reproject("e", "n", code, 4326)
+    for r in back.select("lon", "lat", lon.alias("x"), lat.alias("y")).collect():
+        assert abs(r.x - r.lon) < 5e-9 and abs(r.y - r.lat) < 5e-9  # half a millimetre
+    with pytest.raises(ValueError):
+        C.reproject("e", "n", code, 32612)
+
+
+def test_box_in_another_system(spark):
+    box = C.reproject_box(-114.0, 30.0, -108.0, 38.0, 4326, 26912, spark)
+    df = spark.range(121 * 121).select((F.floor(F.col("id") / 121) / 20 - 114).alias("lon"), (F.col("id") % 121 / 15 + 30).alias("lat"))
+    x, y = C.reproject("lon", "lat", 4326, 26912)
+    inside = x.between(box[0], box[2]) & y.between(box[1], box[3])
+    assert df.where(~inside).count() == 0
+    span = df.agg(F.max(x) - F.min(x), F.max(y) - F.min(y)).first()
+    assert box[2] - box[0] < 1.01 * span[0] and box[3] - box[1] < 1.01 * span[1]
+    assert C.reproject_box(0, 1, 2, 3, None, 3857, spark) == (0, 1, 2, 3) == C.reproject_box(0, 1, 2, 3, 3857, 3857, spark)
+
+
+def test_regrid_between_systems(spark):
+    """A plane stays a plane: bilinear weights reproduce a linear field wherever four cells are there."""
+    src = raster.Grid(2.0, -2.0, 300000.0, 3700100.0, 50, 50)
+    df = spark.range(2500).select(F.floor(F.col("id") / 50).cast("int").alias("row"), (F.col("id") % 50).cast("int").alias("col"))
+    df = df.withColumn("v", F.col("col") * 3.0 - F.col("row") + 7.0)
+    corner = spark.createDataFrame([(300000.0, 3700000.0)], "x double, y double")
+    x, y = one(corner, *C.reproject("x", "y", 26912, 3857))[0]
+    dst = raster.Grid(1.5, 1.5, x - 30, y - 30, 120, 120)
+    out = raster.regrid_crs(df, "v", src, 26912, dst, 3857)
+    px, py = C.reproject(dst.c + dst.a * (F.col("col") + 0.5), dst.f + dst.e * (F.col("row") + 0.5), 3857, 26912)
+    rows = out.select("v", ((px - src.c) / src.a).alias("u"), ((py - src.f) / src.e).alias("w")).collect()
+    inner = [r for r in rows if 0.5 <= r.u <= 49.5 and 0.5 <= r.w <= 49.5]
+    assert len(inner) > 5000 and all(r.v == pytest.approx((r.u - 0.5) * 3 - (r.w - 0.5) + 7, abs=1e-6) for r in inner)
+    every = spark.range(120 * 120).select(F.floor(F.col("id") / 120).cast("int").alias("row"), (F.col("id") % 120).cast("int").alias("col"))
+    there = every.where(((px - src.c) / src.a).between(0, 50) & ((py - src.f) / src.e).between(0, 50))
+    assert there.count() == len(rows)
+    assert raster.regrid_crs(df, "v", src, 26912, src, 26912).count() == 2500
+    assert raster.regrid_crs(df, "v", src, None, src, 3857).count() == 2500
+
+
 def test_tile_name_error(spark):
     df = spark.createDataFrame([("tile_r00256_c00128.npz",), ("x.npz",)], "n string")
     assert one(df.limit(1), N.tile_offset("n", 1), N.tile_offset("n", 2)) == [(256, 128)]
@@ -261,12 +305,42 @@ def test_zonal_median_of_rings_in_rings(spark):
     assert [(r.fid, r.v_med) for r in out] == [(1, (want[47] + want[48]) / 2)]
 
 
-def test_inside_is_strict_on_edges(spark):
+@pytest.mark.parametrize("cell", [0.7, 4.0, 100.0])
+def test_inside_is_strict_on_edges(spark, cell):
     pts = [(1, 5.0, 5.0), (2, 1.0, 5.0), (3, 1.5, 2.5), (4, 9.0, 9.0), (5, 2.0, 9.0), (6, 20.0, 2.0), (7, 8.0, 2.0)]
     p = spark.createDataFrame(pts, "id int, x double, y double")
     ft = spark.range(1).select(F.col("id").alias("fid"), G.literal_ring(DONUT).alias("ring"))
-    assert sorted(r.id for r in vector.inside(p, ft, ["id"], band=4.0).collect()) == [3, 7]
-    assert sorted(r.id for r in vector.inside(p, ft, ["id"], band=4.0, strict=False).collect()) == [2, 3, 4, 5, 7]
+    assert sorted(r.id for r in cover.inside(p, ft, ["id"], cell=cell).collect()) == [3, 7]
+    assert sorted(r.id for r in cover.inside(p, ft, ["id"], cell=cell, strict=False).collect()) == [2, 3, 4, 5, 7]
+
+
+@pytest.mark.parametrize("cell", [1.0, 3.0])
+def test_inside_equals_ray_casting(spark, cell):
+    rnd = random.Random(8)
+    rings = [[(rnd.uniform(-50, 80), rnd.uniform(-50, 80)) for _ in range(n)] for n in (3, 5, 9, 30)] + [[(0, 0), (60, 0), (60, 60), (0, 60)]]
+    rows = [(i, [(float(x), float(y)) for x, y in [*r, r[0]]]) for i, r in enumerate(rings)] + [(4, [(10.0, 10.0), (20.0, 10.0), (20.0, 20.0), (10.0, 20.0), (10.0, 10.0)])]
+    ft = spark.createDataFrame(rows, "fid long, ring array<struct<x:double,y:double>>")
+    pts = [(i, rnd.uniform(-60, 90), rnd.uniform(-60, 90)) for i in range(1500)] + [(2000 + 9 * i + j, 5.0 * i, 5.0 * j) for i in range(9) for j in range(9)]
+    for fid in (None, 3, 4):
+
+        def odd(x, y, rs):
+            return sum((ay <= y) != (by <= y) and x < ax + (y - ay) * (bx - ax) / (by - ay) for r in rs for (ax, ay), (bx, by) in zip(r, r[1:])) % 2
+        groups = {}
+        for k, r in rows:
+            groups.setdefault(k, []).append(r)
+        want = {i for i, x, y in pts[:1500] if any(odd(x, y, g) for k, g in groups.items() if fid is None or k == fid)}
+        got = {r.id for r in cover.inside(spark.createDataFrame(pts, "id int, x double, y double"), ft if fid is None else ft.where(F.col("fid") == fid), ["id"], cell=cell).collect()}
+        assert {i for i in got if i < 1500} == want
+
+
+def test_cover_grows_with_the_perimeter(spark):
+    """Ten times the size: about ten times the cells, not a hundred."""
+    def cells(n):
+        ft = spark.range(1).select(F.col("id").alias("fid"), G.literal_ring(((0, 0), (n, n / 9), (n, n), (0, n))).alias("ring"))
+        inner, lists = cover.cover(vector.ring_edges(ft, ["fid"]), 1.0, 4)
+        return inner.count(), lists.count()
+    (a, b), (c, e) = cells(100), cells(1000)
+    assert c < 25 * a and e < 12 * b
 
 
 def test_zonal_medians_of_any_size(spark):
