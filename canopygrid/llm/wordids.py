@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 from tokenizers import Tokenizer
 
-WORD_BYTES, STEM_BYTES = 32 << 20, 16 << 20
+WORD_BYTES, STEM_BYTES = 40 << 20, 8 << 20
 # letters whose lower-case and composed forms are single letters, then one run of punctuation
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,!?;:*#$%&|\"()]*)")
 
@@ -51,18 +51,25 @@ class WordIds:
 
     def __init__(self, path: str, word_bytes: int = WORD_BYTES, stem_bytes: int = STEM_BYTES):
         self.tok = Tokenizer.from_file(path)
+        self.tokenize = self.tok.model.tokenize  # the attribute is made anew at every use
         self.words = Generations(self._word, word_bytes)
         self.stems = Generations(self._stem, stem_bytes)
         byte_level = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in byte_level]
         self.shown = {b: chr(b) for b in byte_level} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.marks = {m.encode(): self._stem(m) for m in "-.,!?;:*#$%&|\"()"}
 
     def _stem(self, run: str) -> bytes:
         """Ids of one run of letters or of punctuation, by the library's own merge model."""
         shown = run if run.isascii() else "".join(map(self.shown.__getitem__, run.encode()))
-        return _packed([t.id for t in self.tok.model.tokenize(shown)])
+        return _packed([t.id for t in self.tokenize(shown)])
 
     def _word(self, raw: bytes) -> bytes:
+        # ASCII letters, alone or before one mark: the word in small letters is what is remembered
+        if raw.isalpha():
+            return self._stem(raw.decode()) if raw.islower() else self.words[raw.lower()]
+        if raw[-1:] in self.marks and raw[:-1].isalpha():
+            return self.words[raw[:-1]] + self.marks[raw[-1:]]
         word = raw.decode()
         if m := PLAIN.fullmatch(word):
             a, b = m.groups()
