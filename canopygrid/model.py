@@ -26,7 +26,6 @@ MIN_PX_VEG = 6
 MIN_PX_TREE = 30
 VAL_RATIO = 0.20
 MAX_CLASS_WEIGHT = 10.0
-DICE_WEIGHT = 0.7
 
 # Attribute names that may hold the class code, in search order.
 CLASS_FIELDS = (
@@ -54,20 +53,6 @@ FEATURE_SCHEMA = T.StructType(
     ]
 )
 
-CONFIG_SCHEMA = T.StructType(
-    [
-        T.StructField("num_classes", T.IntegerType()),
-        T.StructField("class_names", T.ArrayType(T.StringType())),
-        T.StructField("naip_band_count", T.IntegerType()),
-        T.StructField("base_in_channels", T.IntegerType()),
-        T.StructField("naip_scale", T.DoubleType()),
-        T.StructField("ndvi_auto_rescale", T.BooleanType()),
-        T.StructField("chm_clip_m", T.DoubleType()),
-        T.StructField("class_pixel_counts", T.MapType(T.StringType(), T.LongType())),
-    ]
-)
-
-
 @dataclass(frozen=True)
 class ChipConfig:
     """Constants shared by training and prediction; folded into the plan as literals."""

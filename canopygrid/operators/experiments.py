@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopygrid.operators.metrics import best_epoch
 from canopygrid.operators.ranking import row_number_in
+from canopygrid.sources import commits
 
 
 def job_grid(wanted: DataFrame, available: DataFrame, patches: list[int], seeds: list[int]) -> DataFrame:
@@ -44,3 +46,17 @@ def check_run(runs: DataFrame, in_channels: int, coord: str, n_classes: int, pat
         "fatal": F.col("bad_channels") | F.col("bad_coord") | F.col("bad_classes"),
         "warn_patch": differs("patch", patch) & (F.coalesce("patch", F.lit(0)) != 0),
     })
+
+
+def append_log(log: DataFrame, root: str, run: list[str], round_: str = "round") -> int:
+    """Add a run's rounds to the epoch log as one commit; the log's commit number.
+
+    A round of a run is a partition of the log, so appending it again, after a retry or a restart, replaces it by itself.
+    """
+    return commits.publish_commit(log, root, [*run, round_])
+
+
+def run_records(log: DataFrame, run: list[str], metric: str = "miou", round_: str = "round") -> DataFrame:
+    """One row per run: its rounds, its best round (the first of equals) and the metric there."""
+    best = best_epoch(log, run, metric, round_)
+    return log.groupBy(*run).agg(F.count(F.lit(1)).alias("rounds")).join(best, run)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +21,7 @@ from canopygrid.model import IGNORE
 from canopygrid.operators.layers import class_balance
 from canopygrid.operators.metrics import class_weights, confusion, iou
 from canopygrid.operators.raster import to_pixels
+from canopygrid.sources import commits
 
 
 def train_pixels(px: DataFrame, inputs: list[str], mask: str = "mask", estimator=None,
@@ -37,6 +42,46 @@ def train_pixels(px: DataFrame, inputs: list[str], mask: str = "mask", estimator
     return Pipeline(stages=stages).fit(data)
 
 
+def fingerprint(df: DataFrame, settings: dict) -> str:
+    """Hash of a table's rows (in any order) and of the settings used on them."""
+    row = df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*df.columns)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    said = json.dumps([[c, t] for c, t in df.dtypes]) + json.dumps(settings, sort_keys=True) + repr([str(v) for v in row])
+    return hashlib.sha256(said.encode()).hexdigest()
+
+
+def kept_model(data: DataFrame, settings: dict, fit: Callable[[DataFrame, dict], PipelineModel], root: str) -> PipelineModel:
+    """The model fitted on these rows with these settings: from ``root`` if it was fitted before, else fitted and kept.
+
+    The model is saved first and then published under its fingerprint, so a reader never meets half of one, and a job that is
+    lost while fitting leaves nothing that counts.
+    """
+    spark, key = data.sparkSession, fingerprint(data, settings)
+    stored = commits.read_published(spark, root)
+    found = stored.where(F.col("key") == key).first() if stored is not None else None
+    if found is None:
+        path = f"{root}/models/{uuid.uuid4().hex}"
+        fit(data, settings).write().save(path)
+        commits.publish_commit(spark.createDataFrame([(key, path, json.dumps(settings))], "key string, path string, settings string"), root, ["key"], key)
+        return PipelineModel.load(path)
+    return PipelineModel.load(found["path"])
+
+
+def train_rounds(train: DataFrame, held: DataFrame, inputs: list[str], rounds: tuple[int, ...], root: str, run: dict,
+                 mask: str = "mask", k: int = 7) -> DataFrame:
+    """One log row per round: ``run``'s columns, round, iterations, miou and iou per class on held-out pixels.
+
+    A round fits with more iterations than the one before; models are kept, so a run that is done again only reads them.
+    """
+    logs = []
+    for n, steps in enumerate(rounds, 1):
+        fit = lambda df, s: train_pixels(df, s["inputs"], mask, LogisticRegression(maxIter=s["steps"], family="multinomial"), k)
+        model = kept_model(train, {"inputs": inputs, "steps": steps}, fit, root)
+        per = evaluate(predict_pixels(held, model), mask, "pred", k)
+        one = per.agg(F.avg("iou").alias("miou"), F.array_sort(F.collect_list(F.struct("cls", "iou"))).alias("per"))
+        logs.append(one.select(*[F.lit(v).alias(c) for c, v in run.items()], F.lit(n).alias("round"), F.lit(steps).alias("steps"), "miou", F.col("per.iou").alias("iou")))
+    return reduce(DataFrame.unionByName, logs)
+
+
 def predict_pixels(px: DataFrame, model: PipelineModel) -> DataFrame:
     """Internal id per pixel; the fitted model runs inside the executors' JVM."""
     return model.transform(px).withColumn("pred", F.col("prediction").cast("int")).drop(

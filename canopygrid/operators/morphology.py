@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from canopygrid.session import cut_lineage
 
 CROSS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
+PART = 1_000_000  # edges that one task merges at once
 HALF = {4: ((0, 1), (1, 0)), 8: ((0, 1), (1, -1), (1, 0), (1, 1))}
 
 
@@ -143,26 +145,46 @@ def _star_round(edges: DataFrame) -> DataFrame:
     return kept.union(moved).distinct()
 
 
-def contract(edges: DataFrame) -> DataFrame:
+def _merge_parts(edges: DataFrame, parts: int) -> DataFrame:
+    """Edges (u, v) of each of ``parts`` ranges of u replaced by the stars of their components: every node of a
+    range's edges points to the least one it reaches within the range."""
+    def run(batches):
+        read = [b for b in batches if b.num_rows]
+        if not read:
+            return
+        u, v = (np.concatenate([b.column(i).to_numpy() for b in read]) for i in (0, 1))
+        nodes, index = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = _merge(len(nodes), index[:len(u)], index[len(u):])
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["u", "v"])
+
+    return edges.repartitionByRange(parts, "u").mapInArrow(run, "u long, v long")
+
+
+def contract(edges: DataFrame, part: int = PART) -> DataFrame:
     """Root (smallest node) of every node in an edge list (a, b).
 
-    Star passes run, whatever the number of edges, until a pass leaves the list as it was;
-    number and combined hash of the edges tell.
+    Each round first merges what hangs together within ranges of at most about ``part`` edges, so that chains of neighbouring nodes
+    shrink to one step, and then makes one star pass across the ranges. It is over when one range holds all
+    that is left, or when a round leaves the list as it was; number and combined hash of the edges tell.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = cut_lineage(e.where(F.col("u") != F.col("v")).distinct())
     state = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     was = state(e)
     while True:
-        e = cut_lineage(_star_round(e))
-        now = state(e)
-        if now == was:
+        parts = max(1, -(-was[0] // part))
+        e = _merge_parts(e, parts)
+        if parts > 1:
+            e = cut_lineage(_star_round(cut_lineage(e.distinct())))
+            now = state(e)
+        if parts == 1 or now == was:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         was = now
 
 
 def components(px: DataFrame, conn: int = 8, block: int = 256, value: str | None = None,
-               row="row", col="col", stride: int = 1 << 31) -> DataFrame:
+               row="row", col="col", stride: int = 1 << 31, part: int = PART) -> DataFrame:
     """Components of a mosaic plane of any size; ``comp`` is the smallest pixel id
     (row*stride + col) of the component.
 
@@ -192,7 +214,7 @@ def components(px: DataFrame, conn: int = 8, block: int = 256, value: str | None
         *([value] if value else []), F.col("_br").alias("_ar"), F.col("_bc").alias("_ac"), F.col("_local").alias("a"))
     other = (F.col("_ar") != F.col("_br")) | (F.col("_ac") != F.col("_bc"))
     pairs = ahead.join(seam.withColumnRenamed("_local", "b"), names).where(other).select("a", "b")
-    roots = contract(pairs).withColumnRenamed("node", "_local")
+    roots = contract(pairs, part).withColumnRenamed("node", "_local")
     return local.join(roots, "_local", "left").select(
         *names, F.coalesce("root", "_local").alias("comp"))
 

@@ -168,7 +168,7 @@ def repair_rings(ft: DataFrame, keys: list[str], ring: str = "ring", cell: float
     torn = edges.join(broken, keys, "left_semi")
     pieces = cut_lineage(_noded(torn, meetings, keys).withColumn("_piece", F.monotonically_increasing_id()))
     directed = cut_lineage(_directed(pieces, keys, cell))
-    ranked = rank_cycles(cut_lineage(_followed(directed, keys))).withColumnRenamed("ring", "_ring")
+    ranked = rank_cycles(_followed(directed, keys)).withColumnRenamed("ring", "_ring")
     part = F.struct((F.col("place") != 0).alias("later"), "place", F.struct("x1", "y1").alias("p"))
     rings = directed.join(ranked, "head").groupBy(*keys, "_ring").agg(F.sort_array(F.collect_list(part)).alias("_v"))
     rings = rings.withColumn("_v", F.transform("_v", lambda v: F.struct(v["p"]["x1"].alias("x"), v["p"]["y1"].alias("y"))))

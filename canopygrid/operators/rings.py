@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopygrid.operators.morphology import components
+from canopygrid.operators.morphology import PART, components
 from canopygrid.session import cut_lineage
 
 STRIDE = 1 << 31
@@ -104,15 +105,39 @@ def ring_pieces(labelled: DataFrame, label: str = "comp", keep: tuple[str, ...]
     return src.groupBy("_br", "_bc").applyInPandas(trace, ddl)
 
 
-def rank_cycles(links: DataFrame) -> DataFrame:
+def _jump(after: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least head of each cycle and the steps to it, by pointer jumping over all pieces at once."""
+    ring, ahead, span = head.copy(), np.zeros(len(head), dtype=np.int64), 1
+    while len(head):
+        less = ring[after] < ring
+        if not less.any():
+            break
+        ahead = np.where(less, ahead[after] + span, ahead)
+        ring, after, span = np.minimum(ring, ring[after]), after[after], span * 2
+    return ring, ahead
+
+
+def rank_cycles(links: DataFrame, part: int = PART) -> DataFrame:
     """``head, ring, place`` for pieces (head, next) that form cycles: the least head of the cycle, and how
     many steps after it the piece stands (as a negative number of steps to it, 0 for the least head itself).
 
     Pointer jumping: after k rounds each piece knows the least head among the 2^k pieces from it on and how far
-    ahead it is. It is over when no round finds anything less. Every round is one join of narrow rows, written once.
+    ahead it is. It is over when no round finds anything less. Up to ``part`` pieces, three numbers each, one task makes
+    all rounds in memory; beyond that every round is one join of narrow rows, written once.
     """
-    state = cut_lineage(links.select("head", "next", F.col("head").alias("ring"), F.lit(0).cast("long").alias("ahead"),
-                                     F.lit(True).alias("changed")))
+    links = cut_lineage(links.select("head", "next"))
+    if links.count() <= part:
+        def run(batches):
+            read = [b for b in batches if b.num_rows]
+            if read:
+                head, nxt = (np.concatenate([b.column(i).to_numpy() for b in read]) for i in (0, 1))
+                order = np.argsort(head)
+                head, nxt = head[order], nxt[order]
+                ring, ahead = _jump(np.searchsorted(head, nxt), head)
+                yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(ring), pa.array(-ahead)], names=["head", "ring", "place"])
+
+        return links.coalesce(1).mapInArrow(run, "head long, ring long, place long")
+    state = links.select("head", "next", F.col("head").alias("ring"), F.lit(0).cast("long").alias("ahead"), F.lit(True).alias("changed"))
     span = 1
     while not state.where("changed").isEmpty():
         other = state.select(F.col("head").alias("next"), F.col("next").alias("_next"), F.col("ring").alias("_ring"), F.col("ahead").alias("_ahead"))

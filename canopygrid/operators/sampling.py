@@ -82,6 +82,23 @@ def skip_reasons(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def labeled_crops(px: DataFrame, tile: str, sizes: list[int], tile_size: int, limit: float = LABELED_SHARE_MIN, row: str = "row",
+                  col: str = "col", mask: str = "mask", k: int = 7) -> DataFrame:
+    """Crops of every size of the tiles whose own labeled share is high enough: ``patch_size, tile, dr, dc, kept`` and class counts
+    ``n0..``. A crop is kept if its own share is high enough as well. Sizes larger than the tile, and partial crops, are left out."""
+    labeled = (F.col(mask) >= 0) & (F.col(mask) < k)
+    counts = [F.count(F.when(F.col(mask) == i, 1)).alias(f"n{i}") for i in range(k)]
+    usable = [s for s in sizes if s <= tile_size]
+    r, c = F.pmod(F.col(row), F.lit(tile_size)), F.pmod(F.col(col), F.lit(tile_size))
+    cut = px.select(tile, mask, r.alias("_r"), c.alias("_c"), F.explode(F.array(*[F.lit(s) for s in usable])).alias("patch_size"))
+    size = F.col("patch_size")
+    cut = cut.withColumns({"dr": (F.floor(F.col("_r") / size) * size).cast("int"), "dc": (F.floor(F.col("_c") / size) * size).cast("int")})
+    cut = cut.where((F.col("dr") + size <= tile_size) & (F.col("dc") + size <= tile_size))
+    per = cut.groupBy("patch_size", tile, "dr", "dc").agg(F.avg(labeled.cast("double")).alias("_share"), *counts)
+    good = px.groupBy(tile).agg(F.avg(labeled.cast("double")).alias("_tile")).where(F.col("_tile") >= limit).select(tile)
+    return per.join(good, tile, "left_semi").withColumn("kept", F.col("_share") >= limit).drop("_share")
+
+
 def strata_counts(px: DataFrame, key: str, stratum: str = "stratum") -> DataFrame:
     """Pixels per stratum and patch, as one aggregate with fixed columns."""
     return px.groupBy(key).agg(*[

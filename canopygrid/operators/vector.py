@@ -14,8 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canopygrid.functions import geometry as G
-from canopygrid.functions.arrays import let
 from canopygrid.model import BUILDING, IGNORE, ROAD_RADIUS_M, TREE
+from canopygrid.session import cut_lineage
+
+GATHERED = 65_536  # rows of one group that are ordered in one task
 
 
 def hygiene(ft: DataFrame, ring: str = "ring") -> DataFrame:
@@ -274,31 +276,28 @@ def zonal(px: DataFrame, ft: DataFrame, values: list[str], key: str = "fid", blo
     return ft.select(key).distinct().join(wide, key, "left")
 
 
-def large_median(df: DataFrame, key: str, value: str, slices: int = 4096) -> DataFrame:
+def large_median(df: DataFrame, key: str, value: str, gathered: int = GATHERED, accuracy: int = 10_000) -> DataFrame:
     """Exact median per key for groups of any size.
 
-    Equal values are pre-counted, the counts are summed into ``slices`` value slices
-    per key, and only the slice that holds the middle rank is ordered.
+    Groups of more than ``gathered`` rows first get a bracket around the middle from a quantile sketch, a buffer of fixed
+    size that is combined before the shuffle; its error is far below the bracket's width, so the middle ranks
+    lie inside whatever the values are. What lies below is counted, and only what lies inside is ordered, as is
+    a smaller group as a whole.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    edge = counts.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-                                   F.sum("_n").alias("_total"))
-    share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    placed = counts.join(edge, key).withColumn(
-        "_s", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * slices), F.lit(slices - 1)))
-    hist = placed.groupBy(key, "_s").agg(F.sum("_n").alias("_m"))
-    done = F.coalesce(F.sum("_m").over(
-        W.partitionBy(key).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    hist = hist.select(key, "_s", done.alias("_before"), "_m")
-    lo, hi = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
-    near = placed.join(hist, [key, "_s"]).where(
-        (F.col("_before") + F.col("_m") >= lo) & (F.col("_before") < hi))
-    upto = F.col("_before") + F.sum("_n").over(
-        W.partitionBy(key, "_s").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    ranked = near.withColumn("_upto", upto)
-    return ranked.groupBy(key).agg(
-        ((F.min(F.when(F.col("_upto") >= lo, F.col(value)))
-          + F.min(F.when(F.col("_upto") >= hi, F.col(value)))) / 2.0).alias(value))
+    rows = cut_lineage(df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_v")))
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    large = cut_lineage(sizes.where(F.col("_n") > gathered))
+    wide = 10.0 / accuracy
+    q = rows.join(large, key).groupBy(key).agg(F.percentile_approx("_v", [0.5 - wide, 0.5 + wide], accuracy).alias("_q"))
+    q = cut_lineage(q.select(key, F.get("_q", F.lit(0)).alias("_from"), F.get("_q", F.lit(1)).alias("_to")))
+    below = rows.join(q, key).where(F.col("_v") < F.col("_from")).groupBy(key).agg(F.count(F.lit(1)).alias("_below"))
+    bracket = q.join(below, key, "left")
+    near = rows.join(bracket, key, "left").where(F.col("_from").isNull() | F.col("_v").between(F.col("_from"), F.col("_to")))
+    w = W.partitionBy(key)
+    place = F.row_number().over(w.orderBy("_v")) + F.coalesce("_below", F.lit(0))
+    ranked = near.join(large, key, "left").withColumns({"_r": place, "_n": F.coalesce("_n", F.count(F.lit(1)).over(w))})
+    middle = (F.col("_r") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_r") == F.floor(F.col("_n") / 2) + 1)
+    return ranked.where(middle).groupBy(key).agg(((F.min("_v") + F.max("_v")) / 2.0).alias(value))
 
 
 def layer_bounds(ft: DataFrame, ring: str = "ring") -> DataFrame:

@@ -7,6 +7,7 @@ rows. Only integer arithmetic and doubles are used.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from canopygrid.functions import geometry as G
 from canopygrid.operators.ranking import row_number_in
 from canopygrid.operators.raster import Grid
+from canopygrid.session import shared_dir
 
 CHIP = 8
 MOSAIC_COLS = 200
@@ -152,6 +154,28 @@ def boundary(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.col("id").alias("fid"), G.literal_ring(BOUNDARY).alias("ring"))
 
 
+def stored(spark: SparkSession, kind: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def truncate(spark: SparkSession, folder: str, keep: float = 0.5) -> None:
+    """Damage: cut every Parquet file of a folder to a part of its length."""
+    jvm = spark._jvm
+    home = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(home):
+        path = status.getPath()
+        if not path.getName().endswith(".parquet"):
+            continue
+        stream = fs.open(path)
+        head = stream.readNBytes(int(status.getLen() * keep))
+        stream.close()
+        out = fs.create(path, True)
+        out.write(head)
+        out.close()
+
+
 CTES = {
     "px": """px AS (
   SELECT chip, label, pos, r, c, CAST((chip//25)*8 + r AS INTEGER) AS row, CAST((chip%25)*8 + c AS INTEGER) AS col,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from canopygrid.functions import bands as B
@@ -15,8 +13,7 @@ from canopygrid.operators import augment, layers, points, raster, sampling, vect
 from canopygrid.plans import fixtures as X
 from canopygrid.plans.fixtures import with_
 from canopygrid.plans.registry import query
-from canopygrid.session import shared_dir
-from canopygrid.sources import clustered, config, discovery, tables
+from canopygrid.sources import clustered, commits, config, discovery, tables
 
 CFG = ChipConfig()
 
@@ -31,13 +28,9 @@ def r6(*names):
 
 # ------------------------------------------------------------------ scans
 
-def _stored(spark, kind):
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
 def _stored_raster(spark, d):
     """The mosaic as a raster on disk, in blocks along the curve."""
-    path = _stored(spark, "raster")
+    path = X.stored(spark, "raster")
     clustered.write_raster(X.pixels(spark, d).select("scene", "row", "col", *X.BANDS), path, block=X.CHIP)
     return path
 
@@ -74,7 +67,7 @@ def _bbox_sql():
 
 @query("bbox_scan", _bbox_sql())
 def bbox_scan(spark, d):
-    path = _stored(spark, "layer")
+    path = X.stored(spark, "layer")
     at = lambda c, o: (o + F.col(c) * 10).alias(c)
     clustered.write_layer(X.features(spark, d).select("fid", at("xmin", 400000), at("ymin", 3700000), at("xmax", 400000), at("ymax", 3700000)), path, X.UTM_CODE)
     return clustered.read_layer(spark, path, BOX, X.MERCATOR_CODE).select("fid", "xmin", "ymin", "xmax", "ymax")
@@ -443,6 +436,21 @@ def landcover_pixels(spark, d):
     return raster.to_pixels(ch, 48, ["lc"])
 
 
+@query("publish_commit", with_("""SELECT scene, count(*) AS n, CAST(sum(red+CASE WHEN CAST(substr(scene,3) AS INTEGER)%2=0 THEN 1000 ELSE 0 END) AS BIGINT) AS total,
+ CAST(2 AS BIGINT) AS commits, CAST(1 AS BIGINT) AS left_over FROM px GROUP BY scene""", "px"))
+def publish_commit(spark, d):
+    """Scenes published, every second one published anew, and a writer lost before its record: readers see the first two."""
+    root, px = X.stored(spark, "table"), X.pixels(spark, d).select("scene", "row", "col", "red")
+    commits.publish_commit(px, root, ["scene"])
+    again = px.where(F.substring("scene", 3, 9).cast("int") % 2 == 0).withColumn("red", F.col("red") + 1000)
+    commits.publish_commit(again, root, ["scene"], token="second")
+    commits.write_version(px.withColumn("red", F.lit(-1)), root, ["scene"])
+    commits.publish_commit(again.withColumn("red", F.lit(-2)), root, ["scene"], token="second")  # known, and so left out
+    live = commits.read_published(spark, root)
+    return live.groupBy("scene").agg(F.count(F.lit(1)).alias("n"), F.sum("red").alias("total")).withColumns({
+        "commits": F.lit(commits.latest(spark, root)).cast("long"), "left_over": F.lit(len(commits.leftovers(spark, root))).cast("long")})
+
+
 @query("stack6", with_("SELECT scene,row,col,red,green,blue,nir,round(ndvi,9) AS ndvi,round(chm,9) AS chm FROM ndvi", "ndvi"))
 def stack6(spark, d):
     px = X.pixels(spark, d)
@@ -459,6 +467,49 @@ def chips_by_split(spark, d):
     return sampling.assign_split(px, "chip").select("chip", "split", F.lit(8).alias("patch_size"), "red_sum")
 
 
+def _chip_set(spark, d):
+    """Chips with image and mask, their scene and split."""
+    cells = F.array_sort(F.collect_list(F.struct("pos", "red", (F.col("nir") % 7).alias("m"))))
+    ch = X.pixels(spark, d).groupBy("chip", "scene").agg(cells.alias("cells")).select(
+        "chip", "scene", F.col("cells.red").alias("image"), F.col("cells.m").alias("mask"), F.lit(8).alias("patch_size"))
+    return sampling.assign_split(ch, "chip")
+
+
+def _weighted(a):
+    """Sum of an array's values times their positions, so that order counts."""
+    return F.aggregate(F.transform(a, lambda v, i: v.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda s, v: s + v)
+
+
+@query("chips_round_trip", with_(f"""SELECT chip, scene, 'val' AS split, CAST(8 AS INTEGER) AS patch_size, CAST(sum(red*(pos+1)) AS BIGINT) AS image_sum,
+ CAST(sum(nir%7*(pos+1)) AS BIGINT) AS mask_sum FROM px WHERE {order_key_sql("chip")}%1000000<200000 GROUP BY chip, scene""", "px"))
+def chips_round_trip(spark, d):
+    """The chip set written by size and split, and its validation part read again: only that folder's files are opened."""
+    path = X.stored(spark, "chips")
+    tables.write_chips(_chip_set(spark, d), path)
+    val = tables.read_chips(spark, path, 8, "val")
+    return val.select("chip", "scene", "split", "patch_size", _weighted("image").alias("image_sum"), _weighted("mask").alias("mask_sum"))
+
+
+@query("robust_files", with_("""SELECT scene, count(DISTINCT chip) AS n_chips, count(DISTINCT chip) FILTER (WHERE ok) AS n_readable,
+ CAST(sum(CASE WHEN ok THEN red*(pos+1) ELSE 0 END) AS BIGINT) AS image_sum, CAST(sum(CASE WHEN ok THEN nir%7*(pos+1) ELSE 255*(pos+1) END) AS BIGINT) AS mask_sum,
+ (SELECT count(DISTINCT scene) FROM px) AS n_files, (SELECT count(DISTINCT scene) FROM px WHERE CAST(substr(scene,3) AS INTEGER)%3<>1) AS n_valid
+ FROM (SELECT *, CAST(substr(scene,3) AS INTEGER)%3<>1 AS ok FROM px) GROUP BY scene""", "px"))
+def robust_files(spark, d):
+    """One chip file per scene, every third cut in half: its chips become zero images with masks that are all ignored."""
+    path = X.stored(spark, "files")
+    chips = _chip_set(spark, d).drop("split", "patch_size")
+    chips.repartition("scene").write.partitionBy("scene").parquet(path)
+    for (scene,) in chips.select("scene").distinct().collect():
+        if int(scene[2:]) % 3 == 1:
+            X.truncate(spark, f"{path}/scene={scene}")
+    rows, status = discovery.tolerant_read(spark, path, chips.schema)
+    index = X.chips(spark, d).select("chip", F.concat(F.lit("m_"), F.floor(F.col("chip") / 100).cast("string")).alias("scene"))
+    full = discovery.robust_chips(index, rows.select("chip", "image", "mask"), "chip", X.CHIP, "image", "mask", ignore=255)
+    per = full.groupBy("scene").agg(F.count(F.lit(1)).alias("n_chips"), F.count(F.when(F.col("readable"), 1)).alias("n_readable"),
+                                    F.sum(_weighted("image")).alias("image_sum"), F.sum(_weighted("mask")).alias("mask_sum"))
+    return per.crossJoin(discovery.read_summary(status))  # one row
+
+
 @query("split_inherit", with_(f"""SELECT chip, CAST(r//4*4 AS INTEGER) AS dr, CAST(c//4*4 AS INTEGER) AS dc,
  CASE WHEN {order_key_sql("chip")}%1000000<200000 THEN 'val' ELSE 'train' END AS split,
  'label_'||scene||'/'||CAST(chip AS VARCHAR)||'_p4_r'||CAST(r//4*4 AS VARCHAR)||'_c'||CAST(c//4*4 AS VARCHAR) AS source

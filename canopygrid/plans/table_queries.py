@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canopygrid.functions import bands as B
 from canopygrid.functions import names as N
+from canopygrid.functions.keys import order_key_sql
 from canopygrid.operators import experiments, layers, metrics, ml, raster, sampling
 from canopygrid.plans import fixtures as X
 from canopygrid.plans.fixtures import RUN, with_
 from canopygrid.plans.pixel_queries import COVER_MASK, label_mask, ndvi_pixels
 from canopygrid.plans.registry import query
-from canopygrid.sources import config, discovery
+from canopygrid.session import cut_lineage, shared_dir
+from canopygrid.sources import commits, config, discovery
 from canopygrid.streaming import jobs
 
 # ------------------------------------------------------------------ accuracy
@@ -240,22 +243,56 @@ def _training(spark, d):
     return sampling.assign_split(px, "chip")
 
 
+LEARNED = 0.5  # mean intersection over union that a fitted model must reach on held-out pixels
+ROUNDS = (3, 10, 30)
+SPLIT = f"CASE WHEN {order_key_sql('chip')}%1000000<200000 THEN 'val' ELSE 'train' END"
+# the labels' rule on the pixels themselves
+TRAINING = f""", tr AS (SELECT scene, row, col, {SPLIT} AS split, CASE WHEN (row+col)%10=0 THEN 255 WHEN (coalesce(ndvi,0.0)+1)/2<0.55 THEN 3
+ WHEN h<0.01 THEN 2 WHEN h<=0.05 THEN 1 ELSE 0 END AS mask FROM (SELECT *, least(greatest(coalesce(chm,0.0),0.0),30.0)/30.0 AS h FROM ndvi))"""
+
+
+def _models(spark):
+    return f"{shared_dir(spark)}/pixel-models"
+
+
+def _rounds(spark, d):
+    """Rounds of one run; models are kept, so only the first query that needs them fits."""
+    data = _training(spark, d).select("scene", "chip", "row", "col", *INPUTS, "mask", "split")
+    train, held = (data.where(F.col("split") == x) for x in ("train", "val"))
+    return ml.train_rounds(train.drop("split"), held, INPUTS, ROUNDS, _models(spark), {"arch": "logistic", "seed": 1})
+
+
 def _fit(spark, d):
-    data = _training(spark, d)
-    return data, ml.train_pixels(data.where(F.col("split") == "train"), INPUTS)
+    data = _training(spark, d).select("scene", "chip", "row", "col", *INPUTS, "mask", "split")
+    fit = lambda df, s: ml.train_pixels(df, s["inputs"], "mask", LogisticRegression(maxIter=s["steps"], family="multinomial"))
+    model = ml.kept_model(data.where(F.col("split") == "train").drop("split"), {"inputs": INPUTS, "steps": ROUNDS[-1]}, fit, _models(spark))
+    return data, model
 
 
-@query("train_pixels")
+@query("train_pixels", with_(TRAINING + """, n AS (SELECT CAST(k AS INTEGER) AS cls, (SELECT count(*) FROM tr WHERE split='train' AND mask=k) AS n FROM range(7) t(k)),
+ w AS (SELECT *, (sum(greatest(n,1)) OVER ())/(7.0*greatest(n,1)) AS w FROM n)
+ SELECT cls, n AS n_train, round(least(w/avg(w) OVER (), 10.0),6)::DOUBLE AS weight, TRUE AS learned FROM w""", "ndvi"))
 def train_pixels(spark, d):
+    """Labeled pixels and weight of each class, and whether the model fitted with them is good enough on held-out pixels."""
     data, model = _fit(spark, d)
+    train = data.where((F.col("split") == "train") & (F.col("mask") != 255))
+    counts = layers.class_balance(train, [], "mask", 7)
     held = ml.predict_pixels(data.where(F.col("split") == "val"), model)
-    return metrics.mean_iou(ml.evaluate(held))
+    miou = metrics.mean_iou(ml.evaluate(held)).first()[0]
+    return counts.join(metrics.class_weights(counts), "cls").select(
+        "cls", F.col("n").alias("n_train"), F.round("weight", 6).alias("weight"), F.lit(miou >= LEARNED).alias("learned"))
 
 
-@query("predict_pixels")
+@query("predict_pixels", with_(TRAINING + """ SELECT scene, count(*) AS n_px, count(*) FILTER (WHERE mask<>255) AS n_labeled, TRUE AS valid, TRUE AS agrees
+ FROM tr GROUP BY scene""", "ndvi"))
 def predict_pixels(spark, d):
+    """Codes of the fitted model for every pixel: all valid, and mostly the labels' own."""
     data, model = _fit(spark, d)
-    return ml.predict_pixels(data, model).select("scene", "row", "col", (F.col("pred") + 1).alias("lc"))
+    px = ml.predict_pixels(data, model).withColumn("lc", F.col("pred") + 1)
+    labeled = F.col("mask") != 255
+    return px.groupBy("scene").agg(
+        F.count(F.lit(1)).alias("n_px"), F.count(F.when(labeled, 1)).alias("n_labeled"), F.bool_and(F.col("lc").between(1, 7)).alias("valid"),
+        (F.avg(F.when(labeled, (F.col("pred") == F.col("mask")).cast("double"))) > 0.75).alias("agrees"))
 
 
 def brightest_band():
@@ -280,10 +317,33 @@ def predict_complete(spark, d):
     return ml.complete_scenes(chips.where(~late), config.scene_meta(px, 48)).withColumn("n_found", F.col("n_found").cast("int"))
 
 
-@query("eval_model", with_(IOU + "SELECT cls, inter, union_px, round(CASE WHEN union_px>0 THEN inter/union_px::DOUBLE END,9) AS iou FROM i", "sc"))
+@query("eval_model", with_(TRAINING + """ SELECT CAST(k AS INTEGER) AS cls, (SELECT count(*) FROM tr WHERE split='val' AND mask=k) AS n_truth,
+ (SELECT count(*) FROM tr WHERE split='val' AND mask<>255) AS n_held, TRUE AS learned FROM range(7) t(k)""", "ndvi"))
 def eval_model(spark, d):
-    px = X.scored(spark, d).withColumnRenamed("truth", "mask")
-    return ml.evaluate(px).withColumn("iou", F.round("iou", 9))
+    """The fitted model's confusion on held-out pixels: its rows are the truth's counts, its mean overlap is bounded."""
+    data, model = _fit(spark, d)
+    held = ml.predict_pixels(data.where(F.col("split") == "val"), model)
+    conf = metrics.confusion(held, "mask", "pred")
+    miou = metrics.mean_iou(metrics.iou(conf)).first()[0]
+    per = conf.groupBy(F.col("truth").cast("int").alias("cls")).agg(F.sum("n").alias("n_truth"))
+    classes = spark.range(7).select(F.col("id").cast("int").alias("cls"))
+    return classes.join(per, "cls", "left").crossJoin(conf.agg(F.sum("n").alias("n_held"))).select(  # one row
+        "cls", F.coalesce("n_truth", F.lit(0)).alias("n_truth"), "n_held", F.lit(miou >= LEARNED).alias("learned"))
+
+
+@query("run_log", """SELECT 'logistic' AS arch, CAST(1 AS INTEGER) AS seed, CAST(3 AS BIGINT) AS rounds, TRUE AS best_is_logged, TRUE AS learned, CAST(2 AS BIGINT) AS commits""")
+def run_log(spark, d):
+    """A run's rounds appended to the log, appended again as after a restart, and its record."""
+    root = X.stored(spark, "log")
+    log = cut_lineage(_rounds(spark, d))
+    experiments.append_log(log.where("round <= 2"), root, ["arch", "seed"])
+    experiments.append_log(log, root, ["arch", "seed"])
+    kept = commits.read_published(spark, root)
+    record = experiments.run_records(kept, ["arch", "seed"])
+    best = kept.select("arch", "seed", F.col("round").alias("best_round"), F.col("miou").alias("_there"))
+    return record.join(best, ["arch", "seed", "best_round"]).select(
+        "arch", "seed", "rounds", (F.col("best_miou") == F.col("_there")).alias("best_is_logged"),
+        (F.col("best_miou") >= LEARNED).alias("learned"), F.lit(commits.latest(spark, root)).cast("long").alias("commits"))
 
 
 # ------------------------------------------------------------------ streams
@@ -302,8 +362,8 @@ def stream_status(spark, d):
     m = F.col("event_id") % 10
     log = _event_stream(spark, d).select(F.when(m <= 6, "ok").when(m <= 8, "skip").otherwise("fail").alias("status"))
     home = jobs.scratch(spark, "status")
-    jobs.board(jobs.status_stream(log), f"{home}/board", f"{home}/state")
-    return jobs.read_board(spark, f"{home}/board", ["status"], ["n"])
+    jobs.board(jobs.status_stream(log), f"{home}/board", ["status"], f"{home}/state")
+    return jobs.read_board(spark, f"{home}/board")
 
 
 @query("stream_best", with_(""", b AS (SELECT arch,init,patch,seed,max(miou) AS best FROM runs WHERE NOT isnan(miou) GROUP BY ALL)
@@ -315,8 +375,8 @@ def stream_best(spark, d):
         F.when(u % 2 == 0, 128).otherwise(256).alias("patch"), (u % 3 + 1).cast("int").alias("seed"),
         F.when(i % 50 == 0, F.lit(float("nan"))).otherwise(F.col("value") / 600).alias("miou"))
     home = jobs.scratch(spark, "best")
-    jobs.board(jobs.best_stream(log, RUN), f"{home}/board", f"{home}/state")
-    out = jobs.read_board(spark, f"{home}/board", RUN, ["best", "best_at"])
+    jobs.board(jobs.best_stream(log, RUN), f"{home}/board", RUN, f"{home}/state")
+    out = jobs.read_board(spark, f"{home}/board")
     return out.where(F.col("best").isNotNull()).withColumn("best", F.round("best", 9))
 
 

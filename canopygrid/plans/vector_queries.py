@@ -17,6 +17,8 @@ from canopygrid.plans import fixtures as X
 from canopygrid.plans.fixtures import with_
 from canopygrid.plans.pixel_queries import COVER_MASK, label_mask, ndvi_pixels
 from canopygrid.plans.registry import query
+from canopygrid.session import cut_lineage
+from canopygrid.sources import config
 
 
 # ------------------------------------------------------------------ geometry
@@ -347,6 +349,32 @@ def skip_reasons(spark, d):
     return sampling.skip_reasons(t.withColumn("has_bands", F.col("chip") % 13 != 0))
 
 
+@query("config_document", with_(COVER_MASK + f""", tile AS (SELECT chip, avg(CASE WHEN mask<>255 THEN 1.0 ELSE 0.0 END) AS f, CASE WHEN {order_key_sql('chip')}%1000000<200000 THEN 'val' ELSE 'train' END AS split FROM m GROUP BY chip),
+ z AS (SELECT 8 AS size, chip, 0 AS q, mask FROM m UNION ALL SELECT 4, chip, (row%8)//4*2+(col%8)//4, mask FROM m),
+ crop AS (SELECT size, chip, q, avg(CASE WHEN mask<>255 THEN 1.0 ELSE 0.0 END)>=0.01 AS kept, count(*) FILTER (WHERE mask=0) AS tree, count(*) FILTER (WHERE mask<>255) AS labeled
+  FROM z JOIN tile USING (chip) WHERE f>=0.01 GROUP BY 1,2,3)
+ SELECT CAST(size AS INTEGER) AS patch_size, count(*) FILTER (WHERE kept AND split='train') AS train_tiles, count(*) FILTER (WHERE kept AND split='val') AS val_tiles,
+  (SELECT count(*) FROM tile WHERE f<0.01) AS low_label, count(*) FILTER (WHERE NOT kept) AS crop_low_label, CAST(sum(tree) FILTER (WHERE kept) AS BIGINT) AS tree_px,
+  round(sum(tree) FILTER (WHERE kept)/CAST(sum(labeled) FILTER (WHERE kept) AS DOUBLE),9) AS tree_frac, (SELECT count(*) FROM m WHERE flipped) AS flipped_px,
+  190.0::DOUBLE AS xmax, 6::BIGINT AS base_in_channels FROM crop JOIN tile USING (chip) GROUP BY size""", "px", "cover"))
+def config_document(spark, d):
+    """The documents of the chip sets of two sizes, and what stands in them when they are read again."""
+    m = cut_lineage(label_mask(spark, d))
+    crops = sampling.labeled_crops(m, "chip", [8, 4], X.CHIP)
+    crops = crops.join(sampling.assign_split(m.select("chip").distinct(), "chip"), "chip")
+    low = m.groupBy("chip").agg(F.avg((F.col("mask") != 255).cast("int")).alias("f")).where(F.col("f") < 0.01).count()
+    box = vector.layer_bounds(X.boundary(spark)).first()
+    docs = config.chip_set_documents(crops, {"low_label": low}, tuple(box), 3857, len(X.BANDS), 255.0, X.CHIP, "2024-01-01_000000",
+                                     tree_over_building_px=m.where("flipped").count())
+    read = F.try_parse_json(F.col("doc"))
+    get = lambda path, kind, name: F.try_variant_get(read, f"$.{path}", kind).alias(name)
+    return docs.select(
+        "patch_size", get("train_tiles", "bigint", "train_tiles"), get("val_tiles", "bigint", "val_tiles"), get("skipped.low_label", "bigint", "low_label"),
+        get("skipped.crop_low_label", "bigint", "crop_low_label"), get("class_pixel_counts.Tree", "bigint", "tree_px"),
+        F.round(F.try_variant_get(read, "$.class_pixel_frac.Tree", "double"), 9).alias("tree_frac"), get("tree_over_building_px", "bigint", "flipped_px"),
+        get("coord_bounds.xmax", "double", "xmax"), get("base_in_channels", "bigint", "base_in_channels"))
+
+
 # ------------------------------------------------------------------ sampling and patches
 
 ACCEPTED = f""", acc AS (SELECT chip, row_number() OVER (ORDER BY {order_key_sql('chip')}) AS patch_id FROM

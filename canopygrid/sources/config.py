@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopygrid.model import CLASS_NAMES, ChipConfig
+from canopygrid.model import CHM_CLIP_M, CLASS_NAMES, GRASS_MAX_M, IGNORE, NDVI_VEG_MIN, TREE_MIN_M, VAL_RATIO, ChipConfig
 
-# Keys a usable document must have, and keys copied for prediction.
+# Keys a usable document must have.
 REQUIRED = ("naip_band_count", "naip_scale", "chm_clip_m")
-COPIED = ("num_classes", "class_names", "codes", "naip_band_count", "base_in_channels",
-          "naip_scale", "ndvi_auto_rescale", "chm_clip_m")
 
 
 def has_key(doc, key: str) -> Column:
@@ -60,6 +58,39 @@ def class_counts_json(balance: DataFrame, keys: list[str], cls: str = "cls", n:
     return maps.select(*keys, F.to_json(F.map_from_entries(pairs)).alias("class_pixel_counts"))
 
 
+def chip_set_documents(crops: DataFrame, skipped: dict[str, int], bounds: tuple[float, float, float, float], epsg: int, bands: int,
+                       scale: float, tile_size: int, stamp: str, seed: int = 42, **tallies) -> DataFrame:
+    """``patch_size, doc``: the configuration document of every chip set.
+
+    ``crops`` has one row per crop: patch_size, split, kept, and n0..n6, its labeled pixels per class. Counts, shares and the numbers of
+    chips are those of kept crops; the others are tallied as ``crop_low_label`` beside the tile-level ``skipped``. ``bounds`` normalise
+    coordinates; ``tallies`` (such as tree_over_building_px) are written as they are. One aggregate; documents are as many as sizes.
+    """
+    n = len(CLASS_NAMES)
+    kept = F.col("kept")
+    per = crops.groupBy("patch_size").agg(
+        F.count(F.when(kept & (F.col("split") == "train"), 1)).alias("train"), F.count(F.when(kept & (F.col("split") == "val"), 1)).alias("val"),
+        F.count(F.when(~kept, 1)).alias("low"), *[F.coalesce(F.sum(F.when(kept, F.col(f"n{i}"))), F.lit(0)).alias(f"n{i}") for i in range(n)])
+    total = sum((F.col(f"n{i}") for i in range(n)), F.lit(0))
+    named = lambda c: F.struct(*[c(i).alias(name) for i, name in enumerate(CLASS_NAMES)])
+    lits = lambda d: F.struct(*[F.lit(v).alias(k) for k, v in d.items()])
+    # The keys of the document.
+    doc = F.struct(
+        F.lit(n).alias("num_classes"), F.array(*map(F.lit, CLASS_NAMES)).alias("class_names"),
+        lits({str(i + 1): name for i, name in enumerate(CLASS_NAMES)}).alias("codes"), F.lit(IGNORE).alias("ignore_index"),
+        F.lit(bands).alias("naip_band_count"), F.lit(bands + 2).alias("base_in_channels"), F.lit(float(scale)).alias("naip_scale"),
+        F.lit(True).alias("ndvi_auto_rescale"), F.lit(CHM_CLIP_M).alias("chm_clip_m"), F.lit(GRASS_MAX_M).alias("th_grass_m"),
+        F.lit(TREE_MIN_M).alias("th_tree_m"), F.lit(NDVI_VEG_MIN).alias("ndvi_veg_min"), F.array("patch_size", "patch_size").alias("tile_size"),
+        F.col("patch_size"), F.array(F.lit(tile_size), F.lit(tile_size)).alias("source_tile_size"), F.lit(epsg).alias("crs_epsg"),
+        lits(dict(zip(("xmin", "ymin", "xmax", "ymax"), map(float, bounds)))).alias("coord_bounds"), F.lit(seed).alias("seed"),
+        F.lit(VAL_RATIO).alias("val_ratio"), F.col("train").alias("train_tiles"), F.col("val").alias("val_tiles"),
+        named(lambda i: F.col(f"n{i}")).alias("class_pixel_counts"),
+        named(lambda i: F.coalesce(F.try_divide(F.col(f"n{i}"), total), F.lit(0.0))).alias("class_pixel_frac"),
+        F.struct(*[F.lit(v).alias(k) for k, v in skipped.items()], F.col("low").alias("crop_low_label")).alias("skipped"),
+        F.lit("tree_over_building").alias("overlap_rule"), F.lit(stamp).alias("prepared_at"), *[F.lit(v).alias(k) for k, v in tallies.items()])
+    return per.select("patch_size", F.to_json(doc).alias("doc"))
+
+
 def scene_meta(px: DataFrame, size: int, scene: str = "scene") -> DataFrame:
     """Width, height and chip grid of each scene, from its pixels."""
     r = px.groupBy(scene).agg(

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canopygrid.functions.names import path_key, stem
 
@@ -14,7 +15,7 @@ def discover(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.groupBy(path_key(path).alias("path_key")).agg(F.min(path).alias(path))
 
 
-def list_files(spark, folder: str, pattern: str) -> DataFrame:
+def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """Recursive listing by name pattern, without reading file contents."""
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -66,6 +67,28 @@ def split_scan(scenes: DataFrame, states: list[str] | None, splits: list[str], l
     return out.withColumn("layer", F.explode(F.array(*[F.lit(x) for x in layers])))
 
 
+def tolerant_read(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet") -> tuple[DataFrame, DataFrame]:
+    """(rows with their ``file``, status of every file) of a folder some of whose files may be damaged.
+
+    A file that cannot be read is passed over instead of failing the job. The listing, which opens no file, is joined to the rows
+    that came out: ``file, length, n_rows, readable``. A file cut within its rows can give some of them; compare
+    with an index of what should be there (``robust_chips``). Partition columns belong into ``schema``.
+    """
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    rows = (spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("pathGlobFilter", pattern).parquet(folder)
+            .select("*", plain(F.col("_metadata.file_path")).alias("file")))
+    seen = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"))
+    listed = list_files(spark, folder, pattern).select(plain(F.col("path")).alias("file"), "length")
+    status = listed.join(seen, "file", "left").select(
+        "file", "length", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.col("n_rows").isNotNull().alias("readable"))
+    return rows, status
+
+
+def read_summary(status: DataFrame) -> DataFrame:
+    """How many files there are and how many could be read, in one row."""
+    return status.agg(F.count(F.lit(1)).alias("n_files"), F.count(F.when(F.col("readable"), 1)).alias("n_valid"))
+
+
 def robust_chips(index: DataFrame, chips: DataFrame, key: str, size: int, image: str, mask: str,
                  ignore: int = 0) -> DataFrame:
     """Every indexed chip; an unreadable one becomes a zero image and an all-ignored

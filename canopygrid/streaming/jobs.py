@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from canopygrid.session import shared_dir
+from canopygrid.session import cut_lineage, shared_dir
+from canopygrid.sources import commits
 from canopygrid.sources.discovery import pending
 from canopygrid.sources.tables import publish_spread
 
@@ -50,21 +52,35 @@ def ingest_scenes(stream: DataFrame, compute: Callable[[DataFrame], DataFrame],
     run_once(stream, handle, checkpoint)
 
 
-def board(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Append the changed keys of an aggregated stream, one folder per batch.
+def board(stream: DataFrame, out: str, keys: list[str], checkpoint: str, buckets: int = 16) -> None:
+    """Keep the latest row of every key of an aggregated stream as one published table.
 
-    Update mode emits only keys that changed. Each batch overwrites the folder of its
-    own number, so a replay repeats the same result; ``read_board`` keeps the latest.
+    Update mode emits only the keys that changed. A batch rewrites the buckets of those keys, old rows of other keys
+    included, and publishes them as one commit: readers meet each key once, however many batches there were, and never half
+    a batch. The commit's token is the batch, so a batch that is replayed after a failure is not applied twice.
     """
-    run_once(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"),
-             checkpoint, mode="update")
-
-
-def read_board(spark: SparkSession, out: str, keys: list[str], values: list[str]) -> DataFrame:
-    """Latest state per key."""
-    t = spark.read.parquet(out)
-    state = F.struct(*[F.col(v) for v in values])
-    return t.groupBy(*keys).agg(F.max_by(state, "batch").alias("_s")).select(*keys, "_s.*")
+    def handle(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        token = f"{checkpoint}#{n}"
+        if commits.done(spark, out, token):
+            return
+        changed = cut_lineage(batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+        before = commits.read_published(spark, out)
+        if before is not None:
+            touched = before.join(changed.select("bucket").distinct(), "bucket", "left_semi").select(*before.columns)
+            same = reduce(Column.__and__, [F.col(f"o.{k}").eqNullSafe(F.col(f"c.{k}")) for k in ["bucket", *keys]])
+            changed = touched.alias("o").join(changed.alias("c"), same, "left_anti").unionByName(changed)
+        commits.publish_commit(changed, out, ["bucket"], token)
+
+    run_once(stream, handle, checkpoint, mode="update")
+
+
+def read_board(spark: SparkSession, out: str) -> DataFrame:
+    """The row of every key as of the last batch; an error before the first."""
+    rows = commits.read_published(spark, out)
+    if rows is None:
+        raise FileNotFoundError(f"no batch of {out} was published yet")
+    return rows.drop("bucket")
 
 
 def status_stream(stream: DataFrame, status: str = "status") -> DataFrame:

@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from canopygrid.operators import layers, ml, raster, sampling
+from canopygrid.operators import experiments, layers, ml, raster, sampling
 from canopygrid.plans import fixtures as X
 from canopygrid.plans.table_queries import EVENT_SCHEMA, brightest_band
-from canopygrid.sources import config, discovery, tables
+from canopygrid.sources import commits, config, discovery, tables
 from canopygrid.streaming import jobs
 
 
@@ -98,14 +98,69 @@ def test_stream_counts_equal_batch_and_restart(spark, sf, tmp_path):
     small_files(spark, sf, src)
     log = lambda df: df.select(F.when(F.col("event_id") % 10 <= 6, "ok").otherwise("fail").alias("status"))
     stream = lambda: jobs.status_stream(log(jobs.open_stream(spark, src, EVENT_SCHEMA, files_per_batch=2)))
-    jobs.board(stream(), out, state)
+    jobs.board(stream(), out, ["status"], state, buckets=4)
     batch = log(spark.read.parquet(src)).groupBy("status").count()
     want = sorted(map(tuple, batch.collect()))
-    assert sorted(map(tuple, jobs.read_board(spark, out, ["status"], ["n"]).collect())) == want
+    assert sorted(map(tuple, jobs.read_board(spark, out).collect())) == want
     X.table(spark, sf, "events").limit(50).write.mode("append").parquet(src)
-    jobs.board(stream(), out, state)
+    jobs.board(stream(), out, ["status"], state, buckets=4)
     want = sorted(map(tuple, log(spark.read.parquet(src)).groupBy("status").count().collect()))
-    assert sorted(map(tuple, jobs.read_board(spark, out, ["status"], ["n"]).collect())) == want
+    assert sorted(map(tuple, jobs.read_board(spark, out).collect())) == want
+    # a batch that was committed before is not applied again
+    n = commits.latest(spark, out)
+    again = spark.createDataFrame([("ok", -1, 0)], "status string, n long, bucket int")
+    assert n >= 4 and commits.publish_commit(again, out, ["bucket"], f"{state}#0") == n
+    with pytest.raises(FileNotFoundError):
+        jobs.read_board(spark, str(tmp_path / "none"))
+
+
+def test_boards_hold_each_key_once(spark, tmp_path):
+    src, out, state = (str(tmp_path / k) for k in ("src", "out", "state"))
+    schema = "arch string, event_id long, miou double"
+    for rows in ([("a", 1, 0.5), ("b", 2, 0.1)], [("a", 3, 0.4), (None, 4, 0.9)], [("b", 5, 0.7), ("c", 6, float("nan"))], [("a", 7, 0.5)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = jobs.open_stream(spark, src, spark.createDataFrame([], schema).schema)
+        jobs.board(jobs.best_stream(stream, ["arch"]), out, ["arch"], state, buckets=3)
+    want = [("a", 0.5, 1), ("b", 0.7, 5), (None, 0.9, 4), ("c", None, None)]
+    assert sorted(map(tuple, jobs.read_board(spark, out).collect()), key=str) == sorted(want, key=str)
+
+
+def test_damaged_files_are_counted(spark, sf, tmp_path):
+    p = str(tmp_path / "files")
+    rows = spark.range(400).select("id", F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("scene"))
+    rows.repartition("scene").write.partitionBy("scene").parquet(p)
+    X.truncate(spark, f"{p}/scene=s2")
+    got, status = discovery.tolerant_read(spark, p, rows.schema)
+    assert sorted(r.id for r in got.collect()) == [i for i in range(400) if i % 4 != 2]
+    assert sorted((r.file.split("scene=")[1][:2], r.n_rows, r.readable) for r in status.collect()) == [("s0", 100, True), ("s1", 100, True), ("s2", 0, False), ("s3", 100, True)]
+    assert tuple(discovery.read_summary(status).first()) == (4, 3)
+
+
+def test_models_are_kept_by_data_and_settings(spark, tmp_path):
+    root, fits = str(tmp_path / "models"), []
+    px = spark.range(600).select((F.col("id") % 30 / 30).alias("red"), (F.col("id") % 3).cast("int").alias("mask"), F.col("id"))
+    px = px.withColumn("red", F.col("red") * 0.1 + F.col("mask"))
+
+    def fit(df, s):
+        fits.append(s["steps"])
+        return ml.train_pixels(df, ["red"], "mask", ml.LogisticRegression(maxIter=s["steps"], family="multinomial"), 3)
+
+    for steps in (5, 5, 30):
+        model = ml.kept_model(px, {"steps": steps}, fit, root)
+    ml.kept_model(px.orderBy(F.desc("id")), {"steps": 30}, fit, root)  # the same rows in another order
+    ml.kept_model(px.where("id < 300"), {"steps": 30}, fit, root)
+    assert fits == [5, 30, 30]
+    assert ml.predict_pixels(px, model).where("pred <> mask").count() == 0
+
+
+def test_log_rounds_replace_themselves(spark, tmp_path):
+    root = str(tmp_path / "log")
+    log = lambda *r: spark.createDataFrame([("a", 1, n, m) for n, m in r], "arch string, seed int, round int, miou double")
+    experiments.append_log(log((1, 0.1), (2, 0.4)), root, ["arch", "seed"])
+    experiments.append_log(log((2, 0.4), (3, 0.4), (4, float("nan"))), root, ["arch", "seed"])
+    kept = commits.read_published(spark, root)
+    assert kept.count() == 4
+    assert tuple(experiments.run_records(kept, ["arch", "seed"]).select("rounds", "best_round", "best_miou").first()) == (4, 2, 0.4)
 
 
 def test_ingest_keeps_every_file_once(spark, tmp_path):

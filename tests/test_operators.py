@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -358,6 +359,19 @@ def test_zonal_medians_of_any_size(spark):
     assert sparse[0][1] == pytest.approx((brute[(n - 1) // 2] + brute[n // 2]) / 2)
 
 
+def test_medians_of_large_groups(spark):
+    """Brackets: outliers, many equal values, all values close together, even and odd sizes."""
+    rnd = random.Random(6)
+    groups = {
+        "a": [rnd.gauss(0, 1) for _ in range(20001)] + [1e300, -1e300], "b": [rnd.choice([1.0, 2.0, 3.0]) for _ in range(15000)],
+        "c": [1.0 + rnd.random() * 1e-12 for _ in range(9000)], "d": [5.0] * 8000 + [7.0] * 8000, "e": [3.0, None, 4.0], "f": [None], "g": [2.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double").repartition(7)
+    want = {k: statistics.median([x for x in vs if x is not None]) for k, vs in groups.items() if k != "f"}
+    for gathered in (0, 500, 10**6):
+        got = {r.k: r.v for r in vector.large_median(df, "k", "v", gathered, accuracy=1000).collect()}
+        assert got == want
+
+
 def test_features_near_reports_each_pair_once(spark):
     rnd = random.Random(2)
     f = [(i, *(lambda x, y: (x, y, x + rnd.uniform(0, 30), y + rnd.uniform(0, 30)))(rnd.uniform(-40, 90), rnd.uniform(-40, 90))) for i in range(120)]
@@ -424,6 +438,20 @@ def test_components_match_flood_fill(spark, conn):
     assert all(k == min(r * (1 << 31) + c for r, c in s) for k, s in got.items())
 
 
+@pytest.mark.parametrize("part", [3, 40, 10**6])
+def test_contract(spark, part):
+    rnd = random.Random(part)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(200)] + [(7, 7)]
+    got = {r.node: r.root for r in morphology.contract(spark.createDataFrame(edges, "a long, b long"), part).collect()}
+    least = {}
+    for a, b in edges:
+        least.setdefault(a, a), least.setdefault(b, b)
+    for _ in range(400):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    assert got == {n: r for n, r in least.items() if n != r}
+
+
 def test_snake_component_needs_many_rounds(spark):
     cells = {(r, c) for r in range(0, 30, 2) for c in range(30)}
     cells |= {(r, 29 if (r // 2) % 2 == 0 else 0) for r in range(1, 29, 2)}

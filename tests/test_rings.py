@@ -86,6 +86,7 @@ def test_cycles(spark, n):
     cycles = [ids[:n], ids[n:]]
     links = spark.createDataFrame([(a, b) for c in cycles for a, b in zip(c, c[1:] + c[:1])], "head long, next long")
     got = {r.head: (r.ring, r.place) for r in rings.rank_cycles(links).collect()}
+    assert got == {r.head: (r.ring, r.place) for r in rings.rank_cycles(links, part=0).collect()}  # a join per round
     for c in cycles:
         least = c.index(min(c))
         for i, x in enumerate(c):
