@@ -206,14 +206,17 @@ def nearest_chips(chips: DataFrame, queries: DataFrame, k: int = 10, chip: str =
     ``score`` is the Euclidean distance of the original vectors in double precision; ties go to
     the smaller id; a query never finds its own id. ``queries`` is a part of ``chips`` with the
     same columns. Vectors that are null, all zero or hold null or non-finite components take no
-    part; all others must have one length. Repeated rows of an id count once (with one of their
+    part, nor do those of another length than most (of two equally common lengths the shorter). Repeated rows of an id count once (with one of their
     vectors). Other columns are ignored; an empty table gives no rows.
     """
     need(chips, chip, bands)
     need(queries, chip, bands)
     spark = chips.sparkSession
     vectors = usable(chips, chip, bands)
-    size = vectors.count()
+    lengths = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    dims, size = lengths[0] if lengths else (0, 0)
+    alike = lambda df: df.where(F.size("v") == dims)
+    vectors = alike(vectors)
     fitted = np.array([r[0] for r in vectors.orderBy(F.xxhash64("chip"), "chip").limit(SAMPLE).select("v").collect()])
     if not size:
         return spark.createDataFrame([], "query long, rank int, chip long, score double")
@@ -224,7 +227,7 @@ def nearest_chips(chips: DataFrame, queries: DataFrame, k: int = 10, chip: str =
     sizes = {r["list"]: (r["n"], r["own"]) for r in rows.groupBy("list").agg(
         F.count("*").alias("n"), F.sum(F.col("first").cast("long")).alias("own")).collect()}  # one row per list
     held = np.array([sizes.get(i, (0, 0))[1] for i in range(lists)])
-    asked = cut_lineage(probes(usable(queries, chip, bands).dropDuplicates(["chip"]), graph, held, k, ratio))
+    asked = cut_lineage(probes(alike(usable(queries, chip, bands)).dropDuplicates(["chip"]), graph, held, k, ratio))
     # one row per list: how many blocks its chips and its queries make
     many = lambda n: F.ceil(F.col(n) / F.lit(ROWS)).cast("int")
     blocks = rows.groupBy("list").count().withColumnRenamed("count", "n").join(

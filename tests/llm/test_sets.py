@@ -144,6 +144,8 @@ def test_few_chips(spark):
     got = nearest.nearest_chips(df, df.where("chip = 0")).orderBy("rank").collect()
     assert [(r.query, r.rank, r.chip) for r in got] == [(0, 1, 2), (0, 2, 1)]
     assert nearest.nearest_chips(df.limit(0), df.limit(0)).count() == 0
+    mixed = df.unionByName(chips(spark, [(3, [1.0], "x"), (4, [1.0, 2.0, 3.0], "x")]))  # those of another length take no part
+    assert [(r.query, r.chip) for r in nearest.nearest_chips(mixed, mixed).orderBy("query", "rank").collect()] == [(0, 2), (0, 1), (1, 2), (1, 0), (2, 0), (2, 1)]
 
 
 def test_graph_search_finds_the_nearest():
