@@ -64,6 +64,24 @@ def test_next_document_and_likeness(spark, cfgs):
     assert tuple(near) == (0.5, 1.0, 1.0, 0.0)
 
 
+def test_outlying_keys_leave_buckets_even(cfgs, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_BUCKET", 5)
+    keys = [*range(2000), 10**15, 10**15 + 7, -10**18, None, None]
+    rows = fingerprints.with_next(cfgs([(k, f"doc {k}") for k in keys])).withColumn("nxt", fingerprints.ahead("doc")).where("not guest").collect()
+    order = sorted((k for k in keys if k is not None), reverse=True)
+    after = {r.key: r.nxt for r in rows if r.key is not None}
+    assert all(after[a] == f"doc {b}" for a, b in zip(order, order[1:]))
+    held = {}
+    for r in rows:
+        held[r.bucket] = held.get(r.bucket, 0) + 1
+    assert max(held.values()) <= 20
+
+
+def test_a_column_of_the_same_name_is_replaced(cfgs):
+    df = cfgs([(1, "ndvi and chm")])
+    assert fingerprints.fingerprint_docs(df.withColumnRenamed("key", "prints")).columns == ["name", "doc", "prints", "text"]
+
+
 def test_templates_drop_recurring_lines(spark):
     own = lambda k: "\n".join(f"unique words of run {'abcdefghij'[k % 10]} number {'klmnop'[k // 10]} line {c} here" for c in "qrs")
     logs = [(k, f"{own(k)}\nepoch {k} done in {k * 7} sec\nshort line\n") for k in range(20)]
