@@ -51,11 +51,11 @@ def sequential_ids(df: DataFrame, key, name: str = "patch_id", seed: int = 42,
     return row_number_in(drawn, [], F.shiftright("order_key", 20), ["order_key", *tie], name)
 
 
-def chunk_of(pid, total: int, size: int = 50):
-    """Name of the fixed-size id group; the last one is short."""
+def chunk_of(pid, total, size: int = 50):
+    """Name of the fixed-size id group; the last one is short. ``total`` is a number or a column."""
     p = F.col(pid) if isinstance(pid, str) else pid
     start = F.floor((p - 1) / size) * size + 1
-    return group_name(start, F.least(start + size - 1, F.lit(total)))
+    return group_name(start, F.least(start + size - 1, F.lit(total) if isinstance(total, int) else total))
 
 
 def assign_split(tiles: DataFrame, key, ratio: float = VAL_RATIO, seed: int = 42) -> DataFrame:

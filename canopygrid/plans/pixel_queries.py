@@ -666,11 +666,11 @@ def regrid_crs(spark, d):
 
 @query("mosaic", with_("""SELECT CAST(floor(y/1.5) AS INTEGER) AS row, CAST(floor(x/1.5) AS INTEGER) AS col, arg_max(z, o) AS z FROM (
   SELECT x,y,z, (CASE file WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END)*1000000000000 + CAST(x*8+400*y*8+160000*z AS BIGINT)*10+cls AS o FROM pt
-  WHERE cls<>7) GROUP BY 1,2""", "pt"))
+  ) GROUP BY 1,2""", "pt"))
 def mosaic(spark, d):
     order = (F.when(F.col("file") == "A", 0).when(F.col("file") == "N", 1).otherwise(2) * 1000000000000
              + (F.col("x") * 8 + F.col("y") * 8 * 400 + F.col("z") * 160000).cast("bigint") * 10 + F.col("cls"))
-    pt = X.points(spark, d).where(F.col("cls") != 7).withColumn("o", order)
+    pt = X.points(spark, d).withColumn("o", order)
     grid = raster.Grid(1.5, 1.5, 0.0, 0.0, 34, 34)
     return raster.mosaic(raster.snap(pt, "x", "y", grid), "z", "o")
 

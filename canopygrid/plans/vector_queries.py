@@ -318,7 +318,8 @@ def bundle_totals(spark, d):
 def bundle_chunks(spark, d):
     c = X.table(spark, d, "customer").select("c_custkey")
     ids = row_number_in(c, [], F.floor(F.col("c_custkey") / 4096), ["c_custkey"], "patch_id")
-    return ids.select("patch_id", sampling.chunk_of("patch_id", c.count()).alias("bundle"))
+    total = c.agg(F.count(F.lit(1)).alias("_total"))  # one row, counted when the query runs
+    return ids.crossJoin(total).select("patch_id", sampling.chunk_of("patch_id", F.col("_total")).alias("bundle"))
 
 
 @query("group_match", """WITH l AS (SELECT CASE WHEN page_id%9=0 THEN 'extra_' ELSE 'label_' END||lpad(CAST(page_id AS VARCHAR),6,'0') AS folder, page_id FROM pages),
