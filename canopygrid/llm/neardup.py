@@ -33,7 +33,7 @@ POINTS = 8  # classes of a larger node that are compared with all of it
 BLOCK = 512  # classes in a block of a larger node
 WORK = 2_000_000  # comparisons of one node that are done in blocks; beyond, it branches
 VARIED = 0.3  # a node in which fewer classes than this share resemble any sounding class branches at once
-BRANCHES, MAX_DEPTH = 6, 6
+BRANCHES, MAX_DEPTH = 4, 6  # a pair at PERCENT that meets only in nodes that branch is lost 4 times in a million
 ROWS_PER_FILE = 200_000
 BROADCAST_KEYS = 1_000_000  # document keys (16 MB) that may be sent to every task; more are joined by a shuffle
 SURE = 0.5  # an agreement of signatures below this excludes PERCENT but for 2 in a million pairs
