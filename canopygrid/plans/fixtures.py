@@ -159,6 +159,19 @@ def stored(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+_made: dict[tuple[str, str, str], str] = {}
+
+
+def made_once(spark: SparkSession, d: str, kind: str, write) -> str:
+    """A stored table derived from the folder ``d``, written by the first query of the session that reads it."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _made:
+        path = stored(spark, kind)
+        write(path)
+        _made[key] = path
+    return _made[key]
+
+
 def truncate(spark: SparkSession, folder: str, keep: float = 0.5) -> None:
     """Damage: cut every Parquet file of a folder to a part of its length."""
     jvm = spark._jvm

@@ -30,9 +30,8 @@ def r6(*names):
 
 def _stored_raster(spark, d):
     """The mosaic as a raster on disk, in blocks along the curve."""
-    path = X.stored(spark, "raster")
-    clustered.write_raster(X.pixels(spark, d).select("scene", "row", "col", *X.BANDS), path, block=X.CHIP)
-    return path
+    px = lambda: X.pixels(spark, d).select("scene", "row", "col", *X.BANDS)
+    return X.made_once(spark, d, "raster", lambda path: clustered.write_raster(px(), path, block=X.CHIP))
 
 
 @query("scan_bands", with_("SELECT scene,row,col,red,nir FROM px", "px"))
@@ -67,9 +66,9 @@ def _bbox_sql():
 
 @query("bbox_scan", _bbox_sql())
 def bbox_scan(spark, d):
-    path = X.stored(spark, "layer")
     at = lambda c, o: (o + F.col(c) * 10).alias(c)
-    clustered.write_layer(X.features(spark, d).select("fid", at("xmin", 400000), at("ymin", 3700000), at("xmax", 400000), at("ymax", 3700000)), path, X.UTM_CODE)
+    ft = lambda: X.features(spark, d).select("fid", at("xmin", 400000), at("ymin", 3700000), at("xmax", 400000), at("ymax", 3700000))
+    path = X.made_once(spark, d, "layer", lambda path: clustered.write_layer(ft(), path, X.UTM_CODE))
     return clustered.read_layer(spark, path, BOX, X.MERCATOR_CODE).select("fid", "xmin", "ymin", "xmax", "ymax")
 
 
