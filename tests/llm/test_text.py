@@ -94,7 +94,7 @@ def test_templates_drop_recurring_lines(spark):
     assert out.columns == ["run_dir", "log", "line", "gone"] and len(rows[20]) == 2
     assert rows[0][0].log == logs[0][1] and rows[0][0].gone == 0  # the first occurrence stays
     for k in range(1, 20):
-        assert "epoch" not in rows[k][0].log and "short line" in rows[k][0].log
+        assert "epoch" not in rows[k][0].log and "short line" not in rows[k][0].log
     # copies keep the lines that only copies share
     assert rows[20][0].log == rows[20][1].log == rows[3][0].log != logs[3][1]
     assert rows[21][0].log is None and rows[22][0].log == "" and rows[None][0].log == "epoch 1 done in 7 sec"
@@ -110,6 +110,20 @@ def test_templates_take_in_variants(spark):
     assert "swin" not in rows[9] and rows[10] == logs[5][1]
 
 
+def test_templates_count_documents_not_copies(spark):
+    shared, short = "this line stands in different documents here", "All rights reserved."
+    text = lambda k, *more: "\n".join([*own_lines(k), *more])
+    logs = [(1, text("a", shared)), (2, text("a", shared)), (3, text("b", shared)), (4, text("b", shared))]
+    logs += [(10 + i, text(f"s{i}", short)) for i in range(20)] + [(40 + i, text(f"r{i}", "Only a few.")) for i in range(5)]
+    logs += [(100 + i, text("copied", "end of the copied text here")) for i in range(30)]
+    logs += [(200 + i, text("copied", "end of the copied text here").replace(own_lines("copied")[i % 4], f"changed {i}")) for i in range(8)]
+    got = {r.run_dir: (r.log, r.n) for r in templates.drop_templates(spark.createDataFrame(logs, "run_dir long, log string"), dropped="n").collect()}
+    assert [got[k][1] for k in (1, 2, 3, 4)] == [0, 0, 1, 1] and shared not in got[3][0]
+    assert [got[10 + i][1] for i in range(20)] == [0] + [1] * 19
+    assert all(got[40 + i][1] == 0 for i in range(5))  # short lines need more documents
+    assert all(got[100 + i][1] == 0 for i in range(30))  # copies keep what only copies share
+
+
 def own_lines(k, n=4):
     r = random.Random(f"own {k}")
     return [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(12)) for _ in range(n)]
