@@ -22,18 +22,19 @@ from pyspark.sql import types as T
 
 from canopygrid.llm.bpe import local_path
 from canopygrid.llm.common import need, slices, texts_of
-from canopygrid.llm.wordids import word_ids
+from canopygrid.llm.wordids import WORD_BYTES, word_ids
 
 ROWS_PER_BUCKET = 20_000
 LEAST_BUCKETS = 1024
 
 
 def pieces_of(cfgs: DataFrame, vocab: str, capacity: int = 2048, end_id: int = 0,
-              name: str = "name", doc: str = "doc") -> DataFrame:
+              name: str = "name", doc: str = "doc", word_bytes: int = WORD_BYTES) -> DataFrame:
     """``name, piece, start, length, ids``: each document's ids and ``end_id``, cut only above ``capacity``.
 
     ``ids`` is binary, little-endian unsigned 32-bit. A null or empty document is the end id alone.
-    Row by row: repeated rows give repeated pieces; other columns are ignored.
+    Row by row: repeated rows give repeated pieces; other columns are ignored. A worker remembers
+    about twice ``word_bytes`` of words.
     """
     need(cfgs, name, doc)
     out = T.StructType([
@@ -41,7 +42,7 @@ def pieces_of(cfgs: DataFrame, vocab: str, capacity: int = 2048, end_id: int = 0
         T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = word_ids(local_path(vocab)), np.uint32(end_id).tobytes()
+        tok, end = word_ids(local_path(vocab), word_bytes), np.uint32(end_id).tobytes()
         for b in slices(batches, "doc"):
             rows = [(i, k, at, ids[4 * at:4 * (at + capacity)])
                     for i, ids in enumerate(x + end for x in tok(texts_of(b, "doc")))

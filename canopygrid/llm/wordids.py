@@ -92,6 +92,6 @@ def _packed(ids: list[int]) -> bytes:
 
 
 @functools.lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, word_bytes: int = WORD_BYTES) -> WordIds:
     """One tokenizer per worker process."""
-    return WordIds(path)
+    return WordIds(path, word_bytes, min(STEM_BYTES, word_bytes // 5))
