@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from canopygrid.llm import boilerplate, language, neardup, packing, private
 from canopygrid.session import cut_lineage, shared_dir
 
+WORD_BYTES = 12 << 20
+
 
 def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select("doc_id", "text", "lang", "source", "n_chars")
@@ -44,7 +46,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of all documents and their place in training sequences."""
-    pieces = packing.pieces_of(docs, public_tokenizers.path("word_bpe_49k.json"), name="doc_id", doc="text").drop("ids")
+    # the workers have served four stages before, so this one remembers fewer words
+    pieces = packing.pieces_of(docs, public_tokenizers.path("word_bpe_49k.json"), name="doc_id", doc="text", word_bytes=WORD_BYTES).drop("ids")
     return packing.pack(cut_lineage(pieces), order=("doc_id", "piece"))
 
 
