@@ -1,5 +1,5 @@
 """Text operators for building training data from the engine's document-like records.
 
-The operators are, each in a module of its own, plus the queries that apply them to the given
-tables (``queries``). Nothing outside this folder imports it.
+Each operator is a module of its own; ``queries`` applies them to the given tables. Nothing
+outside this folder imports it.
 """
