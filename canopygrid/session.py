@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # AQE does three jobs here: it switches a join to broadcast only after the side
 # was measured below the threshold, it splits skewed join partitions, and it
-# coalesces small shuffle partitions. No operator hard-codes a broadcast hint.
+# coalesces small shuffle partitions. Operators outside llm give no broadcast hint;
+# those inside give one only behind a count or a bound of the rows.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
